@@ -36,6 +36,7 @@ RATE = 0.08
 LEAST_PIECE = 12
 #: Characters of items in one automaton: some 30 MB of it.
 SLICE_CHARS = 300_000
+NORM = "__tracewright_norm"
 
 
 def normalised(text: Column) -> Column:
@@ -87,7 +88,7 @@ def myers(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]
 
 
 def _matcher(items: list[tuple[object, str]], rate: float, least_piece: int, keep: str):
-    """keep: pairs (results), clean or leaking (rows whose `_norm` matches nothing or something; only doc columns are left)."""
+    """keep: pairs (results), clean or leaking (rows whose its text matches nothing or something; only doc columns are left)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -129,14 +130,14 @@ def _matcher(items: list[tuple[object, str]], rate: float, least_piece: int, kee
             return out
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_norm")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(NORM)).to_pylist()
             if keep == "pairs":
                 pairs = [(row, items[n][0], d, len(items[n][1])) for row, t in enumerate(texts) if t for n, d in matches(t).items()]
                 ids = batch.column(0).take(pa.array([p[0] for p in pairs], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int64()), pa.array([p[3] for p in pairs], pa.int64())], names=["doc_id", "item_id", "distance", "item_chars"])
             else:
                 clean = pa.array([not (t and matches(t)) for t in texts], pa.bool_())
-                yield batch.filter(clean).drop_columns(["_norm"])
+                yield batch.filter(clean).drop_columns([NORM])
 
     return run
 
@@ -158,7 +159,7 @@ def find(df: DataFrame, benchmark: DataFrame, rate: float = RATE, least_piece: i
     """(doc_id, item_id, distance, item_chars) of every document and item within
     the item's budget; distance is the least over the document."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    texts = df.select("doc_id", normalised(df["text"]).alias("_norm"))
+    texts = df.select("doc_id", normalised(df["text"]).alias(NORM))
     schema = f"doc_id {kind}, item_id long, distance long, item_chars long"
     found = [texts.mapInArrow(_matcher(own, rate, least_piece, "pairs"), schema) for own in _slices(benchmark, slice_chars)]
     empty = df.sparkSession.createDataFrame([], schema)
@@ -169,5 +170,5 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, rate: float = RATE, least_pi
     """The rows of df that hold no item, with all their columns."""
     for own in _slices(benchmark, slice_chars):
         plain = df.schema
-        df = df.withColumn("_norm", normalised(df["text"])).mapInArrow(_matcher(own, rate, least_piece, "clean"), T.StructType(list(plain.fields)))
+        df = df.withColumn(NORM, normalised(df["text"])).mapInArrow(_matcher(own, rate, least_piece, "clean"), T.StructType(list(plain.fields)))
     return df

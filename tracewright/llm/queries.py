@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, license, toxicity
+from . import bpe, decontam, license, quality, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.find(documents, benchmark)
@@ -21,6 +25,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     stems = toxicity.learn_stems(documents, table(spark, sf_dir, "labels"))
@@ -32,7 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_licenses, op8_toxicity, op9_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_licenses, op4_quality, op8_toxicity, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
