@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, license, quality, simhash, toxicity
+from . import bpe, decontam, embedding, license, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.apply(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     stems = toxicity.learn_stems(documents, table(spark, sf_dir, "labels"))
@@ -39,9 +47,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_licenses, op4_quality, op8_toxicity, op9_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_licenses, op4_quality, op5_url_filter, op7_embeddings, op8_toxicity, op9_bpe, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": urlfilter.oracle_sql(), "op10_shards": sharding.oracle_sql()}
