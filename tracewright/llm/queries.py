@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embedding, license, quality, sharding, simhash, toxicity, urlfilter
+from . import bpe, decontam, embedding, license, lm, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.apply(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -52,8 +56,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_licenses, op4_quality, op5_url_filter, op7_embeddings, op8_toxicity, op9_bpe, op10_shards)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_licenses, op4_quality, op5_url_filter, op6_lm_scores, op7_embeddings, op8_toxicity, op9_bpe, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urlfilter.oracle_sql(), "op10_shards": sharding.oracle_sql()}
+    return {"op5_url_filter": urlfilter.oracle_sql(), "op6_lm_scores": lm.oracle_sql(), "op10_shards": sharding.oracle_sql()}
