@@ -144,7 +144,11 @@ def collate(rows: DataFrame, size: int) -> DataFrame:
     number = F.floor((F.row_number().over(Window.partitionBy("split").orderBy(EPISODE, FRAME)) - 1) / size)
     item = F.struct(EPISODE, FRAME, "instruction", "action_encoded", "action_mask")
     got = rows.withColumn("batch", number).groupBy("split", "batch").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return got.select("split", "batch", F.size("items").alias("batch_size"), *[F.transform("items", lambda x, n=n: x[n]).alias(n) for n in ("instruction", "action_encoded", "action_mask")])
+
+    def each(name: str) -> Column:
+        return F.transform("items", lambda x: x[name]).alias(name)
+
+    return got.select("split", "batch", F.size("items").alias("batch_size"), *map(each, ("instruction", "action_encoded", "action_mask")))
 
 
 def batch_errors(batches: DataFrame, width: int = 7, real: int = 6) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +43,8 @@ def rollout_matrix(spark: SparkSession, seed: int = SEED, training_view: str = "
 
 def paired_templates(spark: SparkSession, seed: int = SEED) -> DataFrame:
     """Same seeds under every combination of view, observation and state."""
-    column = lambda name, values, kind="string": spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    out = column("seed", [seed, seed + 1, seed + 40], "int")
-    for name, values in (("training_view", ["conservative", "strict"]), ("observation_config", ["wrist_only", "top_only", "wrist_plus_top"]), ("state_features", ["raw", "smoothed"])):
-        out = out.crossJoin(column(name, values))
+    rows = product([seed, seed + 1, seed + 40], ["conservative", "strict"], ["wrist_only", "top_only", "wrist_plus_top"], ["raw", "smoothed"])
+    out = spark.createDataFrame(list(rows), "seed int, training_view string, observation_config string, state_features string")
     return out.withColumn("paired_comparison_group", F.concat(F.lit("PAIR_"), F.col("seed")))
 
 
