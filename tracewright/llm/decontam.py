@@ -152,7 +152,8 @@ def _slices(benchmark: DataFrame, slice_chars: int) -> Iterator[list[tuple[objec
         items = written(items.withColumn("_slice", F.pmod(F.xxhash64("text"), F.lit(n))), "decontam-items")
     for i in range(n):
         own = items.filter(F.col("_slice") == i) if n > 1 else items
-        yield sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if rows := own.collect():
+            yield sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def find(df: DataFrame, benchmark: DataFrame, rate: float = RATE, least_piece: int = LEAST_PIECE, slice_chars: int = SLICE_CHARS) -> DataFrame:

@@ -81,8 +81,12 @@ def automaton(entries: list[tuple[str, float, str]]):
     table = fold_table()
     for text, weight, kind in entries:
         key = fold(text, table)
-        if key and (key not in found or found.get(key)[1] < weight):
-            found.add_word(key, (len(key), weight, kind))
+        if not key:
+            continue
+        if key in found:  # a stem also finds the word that it is
+            _, other, was = found.get(key)
+            weight, kind = max(weight, other), "stem" if "stem" in (kind, was) else kind if weight >= other else was
+        found.add_word(key, (len(key), weight, kind))
     found.make_automaton()
     return found
 
