@@ -47,17 +47,29 @@ BACKOFF, LEAST = 0.4, 2
 ROWS = 2_000_000
 #: Words whose counts go to every task: 0.8 MB, whatever the input.
 FREQUENT = 50_000
-#: Words in an array row, about.
-BATCH_WORDS = 4_000_000
+#: Words held before they are sent on: with their sorted copies some 150 MB.
+BATCH_WORDS = 1_500_000
 START = np.uint64(0)
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
+
+    def counted(codes: list[np.ndarray]) -> pa.RecordBatch:
+        w, n = np.unique(np.concatenate(codes), return_counts=True)
+        codes.clear()
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    codes, total = [], 0
     for batch in batches:
-        codes = [code for *_, code, _ in words(batch.column(0))]
-        w, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, U8), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        for *_, code, _ in words(batch.column(0)):
+            codes.append(code)
+            total += len(code)
+            if total >= BATCH_WORDS:
+                yield counted(codes)
+                total = 0
+    if codes:
+        yield counted(codes)
 
 
 def unigram_table(texts: DataFrame) -> DataFrame:
@@ -100,6 +112,7 @@ def _explode(parts: int, hot: np.ndarray):
         at = spot(w1, w2, hot)
         order = np.argsort(at)
         at, w1, w2, doc = at[order], w1[order], w2[order], doc[order]
+        del order
         part = (at // width).astype(np.int64) if width is not None else np.zeros(len(at), np.int64)
         edges = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
@@ -114,6 +127,7 @@ def _explode(parts: int, hot: np.ndarray):
 
         def send() -> pa.RecordBatch:
             doc, w1, w2 = (np.concatenate([k[i] for k in kept]) for i in range(3))
+            kept.clear()
             out = list(rows(np.concatenate(ids), np.concatenate(known), doc, w1, w2))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["part", "data"])
 
@@ -128,11 +142,11 @@ def _explode(parts: int, hot: np.ndarray):
                 before = np.empty_like(code)
                 before[1:] = code[:-1]
                 before[np.flatnonzero(np.diff(row, prepend=-1))] = START
-                kept.append((row + a + base, before, code))
+                kept.append(((row + a + base).astype(np.int32), before, code))
                 n += len(row)
                 if n >= BATCH_WORDS:
                     yield send()
-                    kept, n = [], 0
+                    n = 0
             base += batch.num_rows
             if not n:
                 ids, known, base = [], [], 0
