@@ -37,7 +37,7 @@ from .textcodes import U8, Words, buffers, mix, pieces
 MAX_ROWS = 20_000
 HELD_OUT = 0.3
 ROUNDS, STEPS = 2, 2
-#: A view is confident from this share of right answers, as calibrated on its training rows.
+#: A view is confident from this share of right answers, as the held-out rows show beyond doubt.
 CONFIDENT = 0.97
 #: Weight of a pseudo-label against a label's 1.
 PSEUDO = 0.3
@@ -243,13 +243,21 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
+def sure_share(hits: np.ndarray, n: np.ndarray, z: float = 1.64) -> np.ndarray:
+    """The lower end of the Wilson interval of hits / n."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def confident(z: np.ndarray, y: np.ndarray, share: float = CONFIDENT) -> tuple[float, float]:
-    """(low, high): below low at least `share` of the rows are 0, above high 1."""
+    """(low, high): of the rows below low, and above high, surely at least
+    `share` are 0, and 1. Few or mixed rows make no view confident. y: labels of
+    rows that the view wasn't fitted on."""
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     n = np.arange(1, len(y) + 1)
-    bad = np.flatnonzero((np.cumsum(1 - y) / n >= share) & (n >= 20))
-    good = np.flatnonzero((np.cumsum(y[::-1]) / n >= share) & (n >= 20))
+    bad = np.flatnonzero(sure_share(np.cumsum(1 - y), n) >= share)
+    good = np.flatnonzero(sure_share(np.cumsum(y[::-1]), n) >= share)
     return (float(z[bad[-1]]) if len(bad) else -np.inf), (float(z[::-1][good[-1]]) if len(good) else np.inf)
 
 
@@ -286,7 +294,7 @@ def train(table: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rounds:
         x = view.x(raw[side][fit])
         for _ in range(12):
             view.w = step(view.w, newton(x, y[fit], np.ones(len(x)), view.w))
-        view.low, view.high = confident(x @ view.w, y[fit])
+        view.low, view.high = confident(view.z(raw[side][held]), y[held])
         views[side] = view
     known = np.sort(ids)
 
@@ -316,7 +324,7 @@ def train(table: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, rounds:
                 view.w = step(view.w, newton(x, y[fit], np.ones(len(x)), view.w) + total[at : at + d * d + d])
                 at += d * d + d
         for side in _SIDES:
-            views[side].low, views[side].high = confident(views[side].z(raw[side][fit]), y[fit])
+            views[side].low, views[side].high = confident(views[side].z(raw[side][held]), y[held])
     for side in _SIDES:
         views[side].platt = platt(views[side].z(raw[side][held]), y[held])
     return Model(float(np.clip(y[held].mean(), 1e-3, 1 - 1e-3)), views["text"], views["meta"], {"fitted": int(fit.sum()), "held_out": int(held.sum())})
