@@ -34,7 +34,7 @@ def test_nan_guards(spark):
 def test_discontinuities_and_infinity(spark):
     df = episodes(spark, [0, 0.1, NAN, 50, INF, 1])
     d = discontinuity.element_deltas(df, F.array("x"))
-    flags = discontinuity.element_flags(d, discontinuity.thresholds(d, k=8.0, floor=1e-3))
+    flags = discontinuity.element_flags(d, discontinuity.thresholds(d, k=8.0, least=1.0))
     assert flags.filter("flag").count() == 0
     assert sorted(r[FRAME] for r in flags.filter("flag_any").collect()) == [4, 5]
 

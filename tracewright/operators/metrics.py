@@ -22,7 +22,8 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p, d = k / n, 1 + z * z / n
     centre = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(NAN)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(NAN))
+    # greatest and least skip nulls, so n = 0 is told apart first.
+    return F.when(n.isNull(), F.lit(NAN)).otherwise(F.greatest(F.lit(0.0), centre - half)), F.when(n.isNull(), F.lit(NAN)).otherwise(F.least(F.lit(1.0), centre + half))
 
 
 def success_rates(df: DataFrame, success: Column, by: Sequence[str] = ()) -> DataFrame:
