@@ -152,7 +152,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "meta").mkdir()
     (tmp_path / "meta/info.json").write_text(json.dumps({"fps": 30, "features": features}))
     m = sources.build_manifest(tmp_path, "n", "r")
-    assert m.keys["state"] == "observation.state" and [c["viewpoint"] for c in m.cameras] == ["verified_external", "verified_egocentric"]
+    assert m.keys["state"] == "observation.state" and [c["viewpoint"] for c in m.cameras] == ["verified_egocentric", "verified_external"]
     assert sources.motor_names(features["observation.state"]) == ["a", "gripper"] and sources.motor_names({}) is None
     views = spark.createDataFrame([("cam_wrist",), ("top",), ("wrist_top",), ("cam",)], "k string").select(sources.viewpoint(F.col("k"))).collect()
     assert [r[0] for r in views] == ["verified_egocentric", "verified_external", "ambiguous", "ambiguous"]

@@ -119,7 +119,7 @@ def export_summary(rows: DataFrame, n: Normaliser) -> DataFrame:
 def diverse_rows(rows: DataFrame, n: int = 6) -> DataFrame:
     """A small batch that covers sides and parts of episodes: the first row of
     each of six (side, part) cells, then others in order until there are n."""
-    cells = [("train", "early"), ("train", "middle"), ("train", "late"), ("val", "middle"), ("test", "early"), ("test", "late")]
+    cells = [c.split(":") for c in "train:early train:middle train:late val:middle test:early test:late".split()]
     placed = rows.withColumn("temporal_position", temporal_position())
     rank = F.row_number().over(Window.partitionBy("split", "temporal_position").orderBy(EPISODE, FRAME))
     want = F.lit(None).cast("int")

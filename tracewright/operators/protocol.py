@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICES = {"nominal_held_out": 40, "object_target_shift": 20, "lighting_camera_perturbation": 15, "control_latency_dynamics": 15, "occlusion_distractor": 10}
+SLICES = dict(zip("nominal_held_out object_target_shift lighting_camera_perturbation control_latency_dynamics occlusion_distractor".split(), (40, 20, 15, 15, 10), strict=True))
 SEED = 42_000
 FORBIDDEN = "evaluation_labels ground_truth_success simulator_success task_success_label".split()
 ROLLOUT_FIELDS = "observation_config paired_comparison_group perturbations rollout_id seed slice training_view".split()

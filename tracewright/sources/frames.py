@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
@@ -13,12 +14,17 @@ from pyspark.sql import functions as F
 
 from ..model import EPISODE, lowest_episodes
 
-STATE_NAMES = ("observation.state", "state", "observation.qpos", "qpos")
+STATE_NAMES = tuple(p + n for p in ("observation.", "") for n in ("state", "states"))
 ACTION_NAMES = ("action", "actions")
-OTHER_NAMES = {"timestamp": ("timestamp", "observation.timestamp"), "frame_index": ("frame_index",), "episode_index": ("episode_index",), "task_index": ("task_index",), "index": ("index",)}
+OTHER_NAMES = {
+    "timestamp": "timestamp timestamps time".split(),
+    "frame_index": "frame_index frame_idx observation.frame_index".split(),
+    "episode_index": "episode_index episode_idx episode".split(),
+    "task_index": "task_index task task_name".split(),
+}
 #: Parts of a camera's name that tell what it looks from.
-INSIDE = ("wrist", "ego", "hand", "gripper_cam", "eye_in_hand", "in_hand", "head", "first_person", "fpv")
-OUTSIDE = ("top", "front", "side", "overhead", "external", "third", "scene", "static", "laptop", "phone", "back", "table", "base")
+INSIDE = "ego egocentric end_effector endeffector first_person fpv gripper_cam hand wrist".split()
+OUTSIDE = "agent_view agentview bird_eye birdseye cam_high cam_low external front overhead side third_person top workspace".split()
 
 
 def image_columns(df: DataFrame) -> list[str]:
@@ -68,11 +74,11 @@ def read_stats(root: str | Path, candidates: tuple[str, ...] = ("meta/stats.json
 
 def discover(features: dict[str, Any]) -> dict[str, str | None]:
     """Which column is which, by lists of usual names, and the cameras."""
-    def first(names: tuple[str, ...]) -> str | None:
+    def first(names: Sequence[str]) -> str | None:
         return next((n for n in names if n in features), None)
 
     out: dict[str, Any] = {"state": first(STATE_NAMES), "action": first(ACTION_NAMES)} | {k: first(v) for k, v in OTHER_NAMES.items()}
-    out["cameras"] = sorted(k for k, v in features.items() if is_visual(v))
+    out["cameras"] = [k for k, v in features.items() if is_visual(v) or "images." in k or ".image" in k]
     return out
 
 
