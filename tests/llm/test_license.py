@@ -49,3 +49,21 @@ def test_scan_and_brute_force(spark, odd, none):
     for i, t in enumerate(texts[:4]):
         assert out[i].n_notices == sum(t.lower().count(p) for p in lic.NOTICES)
     assert lic.scan(odd).count() == odd.count() and lic.scan(none).count() == 0
+
+
+def test_wrapped_headers():
+    found = lic.automaton()
+    for text, licence, kind in (
+        (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted", "bsd-3-clause", 0),
+        ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.", "mpl-2.0", 1),
+        ("// under the terms of the GNU Lesser General\r\n//   Public License as published", "lgpl-3.0-only", 1),
+        ("/* GNU Affero General */\n/* Public License */", "agpl-3.0-only", 3),
+        (" * the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or", "gpl-3.0-or-later", 2),
+        ("GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2.0-or-later", 2),
+        ("-- Released  under\tthe\n\n-- MIT License", "mit", 0),
+    ):
+        licences, _, notices, _, strictest = lic.scan_text(text, found)
+        assert (licences, notices, strictest) == ([licence], 1, kind), text
+    # A tag still ends with its line.
+    assert lic.scan_text("# SPDX-License-Identifier: MIT\n# OR GPL-3.0-only", found)[:2] == (["mit"], ["mit"])
+    assert lic.scan_text("-" * 200_000 + " " * 200_000, found)[2] == 0

@@ -5,7 +5,9 @@ Method: one Aho-Corasick automaton finds identifier tags
 end of its line is a licence expression, which a shunting-yard parser turns
 into postfix form and evaluates: OR takes the freer side, AND the stricter, and
 WITH an exception loosens its licence by a step. A document's own verdict is
-the strictest of its findings, as every one of them binds.
+the strictest of its findings, as every one of them binds. Phrases are matched
+over a copy in which each run of white space and comment marks is one space, so
+a notice may be wrapped over the lines of a comment; tags keep their lines.
 
 Classes, from free to strict: 0 permissive, 1 weak copyleft, 2 strong copyleft,
 3 network copyleft or non-commercial, 4 unknown or broken.
@@ -39,6 +41,10 @@ NOTICES = {
     "apache license, version 2.0": "apache-2.0", "apache license 2.0": "apache-2.0",
     "redistribution and use in source and binary forms, with or without modification": "bsd-3-clause",
     "gnu general public license, version 3": "gpl-3.0-only", "gnu general public license, version 2": "gpl-2.0-only", "gnu general public license version 3": "gpl-3.0-only", "gnu general public license version 2": "gpl-2.0-only",
+    "gnu general public license as published by the free software foundation, either version 3": "gpl-3.0-or-later", "gnu general public license as published by the free software foundation; either version 3": "gpl-3.0-or-later",
+    "gnu general public license as published by the free software foundation, either version 2": "gpl-2.0-or-later", "gnu general public license as published by the free software foundation; either version 2": "gpl-2.0-or-later",
+    "gnu general public license as published by the free software foundation, version 3": "gpl-3.0-only", "gnu general public license as published by the free software foundation; version 3": "gpl-3.0-only",
+    "gnu general public license as published by the free software foundation, version 2": "gpl-2.0-only", "gnu general public license as published by the free software foundation; version 2": "gpl-2.0-only",
     "gnu lesser general public license": "lgpl-3.0-only", "gnu affero general public license": "agpl-3.0-only", "mozilla public license, v. 2.0": "mpl-2.0", "mozilla public license, version 2.0": "mpl-2.0", "eclipse public license": "epl-2.0",
     "cc by-nc 4.0": "cc-by-nc-4.0", "cc by-nc-sa 4.0": "cc-by-nc-sa-4.0", "cc by-nc-nd 4.0": "cc-by-nc-nd-4.0", "cc by-sa 4.0": "cc-by-sa-4.0", "cc by 4.0": "cc-by-4.0", "cc0 1.0 universal": "cc0-1.0",
     "this is free and unencumbered software released into the public domain": "unlicense",
@@ -47,6 +53,8 @@ NOTICES = {
 MOST = 1
 UNKNOWN = 4
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
+#: A run of white space and comment marks with white space in it, other than a lone space between words.
+_GAP = re.compile(r"(?<![\s/*#;%!>|<-])(?! [^\s/*#;%!>|<-])[/*#;%!>|<-]*\s[\s/*#;%!>|<-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -113,13 +121,17 @@ def evaluate(postfix: list[str]) -> tuple[int, set[str]] | None:
     return stack[0][0], stack[0][1]
 
 
+def on_one_line(folded: str) -> str:
+    return _GAP.sub(" ", folded)
+
+
 def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
     found.add_word(TAG, "")
     for phrase, licence in NOTICES.items():
-        found.add_word(phrase, licence)
+        found.add_word(on_one_line(phrase), licence)
     found.make_automaton()
     return found
 
@@ -131,12 +143,14 @@ def scan_text(text: str, found) -> tuple[list[str], list[str], int, int, int | N
     expressions: list[str] = []
     notices = broken = 0
     strictest: int | None = None
-    for last, licence in found.iter(folded):
+    for _, licence in found.iter(on_one_line(folded)):
         if licence:
             notices += 1
             licences.add(licence)
             one = class_of(licence)
-        else:
+            strictest = one if strictest is None else max(strictest, one)
+    for last, licence in found.iter(folded):
+        if not licence:
             line = folded[last + 1 :].split("\n", 1)[0] if len(folded) < 1 << 16 else folded[last + 1 : end if (end := folded.find("\n", last + 1)) >= 0 else len(folded)]
             expressions.append(line.strip())
             postfix = to_postfix(line)
@@ -147,7 +161,7 @@ def scan_text(text: str, found) -> tuple[list[str], list[str], int, int, int | N
             else:
                 one = value[0]
                 licences |= value[1]
-        strictest = one if strictest is None else max(strictest, one)
+            strictest = one if strictest is None else max(strictest, one)
     return sorted(licences), expressions, notices, broken, strictest
 
 
