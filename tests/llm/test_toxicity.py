@@ -1,3 +1,5 @@
+import random
+
 from tracewright.llm import toxicity as t
 
 
@@ -46,3 +48,17 @@ def test_learned_stems(spark):
     scored = t.score(d, t.lexicon(stems=stems))
     assert {r.doc_id for r in scored.filter("toxic").collect()} == {i for i in range(80) if i % 2}
     assert t.learn_stems(d, lab.filter("toxic = 0")) == {} and t.learn_stems(d.limit(0), lab) == {}
+
+
+def test_copies_do_not_crowd_out_stems(spark):
+    """40 copies of a toxic text with more word beginnings than a pass takes, and stems of fewer documents."""
+    r = random.Random(4)
+    long = " ".join("".join(r.choice("bcdfhjkmnpqruvwxyz") for _ in range(10)) for _ in range(700))
+    docs = [(i, f"{long} words here") for i in range(40)] + [(100 + i, f"grublix{'uvwxyz'[i % 6]} words here") for i in range(12)] + [(200 + i, f"words here number {i}") for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 200)) for i, _ in docs], "doc_id long, toxic int")
+    stems = t.learn_stems(d, lab)
+    grub = t.fold("grublix", t.fold_table())
+    assert len(stems) == 2 and sum(grub.startswith(s) for s in stems) == 1
+    few = d.filter("doc_id >= 100").unionByName(d.filter("doc_id < 40").selectExpr("doc_id", "substring(text, 1, 60) as text"))
+    assert t.learn_stems(few, lab, at_once=3) == t.learn_stems(few, lab)

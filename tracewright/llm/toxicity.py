@@ -30,7 +30,8 @@ from .common import drop, need, written
 
 #: Labelled rows that stems are learned from, at most: the bound of the sample.
 MAX_ROWS = 20_000
-MAX_STEMS = 4_000
+#: Candidates that the driver chooses among at once; the rest follow in further passes.
+AT_ONCE = 4_000
 #: Weight per 100 words from which a document is toxic.
 THRESHOLD = 0.15
 #: Texts shorter than so many words are normalised as if they had as many.
@@ -153,37 +154,45 @@ def _words(text: str, table: dict[int, str | None]) -> set[str]:
     return set("".join(c if c.isalnum() else " " for c in fold(text, table)).split())
 
 
-def _beginnings(shortest: int, longest: int):
+def _beginnings(shortest: int, longest: int, kept: frozenset[str] = frozenset()):
+    """Counts of the beginnings in texts that have none of those kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fold_table()
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p in _stems_in(_words(text, table), shortest, longest):
+                own = _stems_in(_words(text, table), shortest, longest)
+                for p in own if kept.isdisjoint(own) else ():
                     counts.setdefault(p, [0, 0])[1 if toxic else 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c for c, _ in counts.values()], pa.int64()), pa.array([t for _, t in counts.values()], pa.int64())], names=["stem", "clean", "toxic"])
 
     return run
 
 
-def _present(stems: dict[str, int], shortest: int, longest: int):
+def _present(stems: dict[str, int], shortest: int, longest: int, kept: frozenset[str] = frozenset()):
+    """Numbers of the stems in each text, none in one that has any of those kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fold_table()
         for batch in batches:
-            found = [sorted(stems[p] for p in _stems_in(_words(t, table), shortest, longest) if p in stems) for t in batch.column(0).to_pylist()]
+            own = [_stems_in(_words(t, table), shortest, longest) for t in batch.column(0).to_pylist()]
+            found = [sorted(stems[p] for p in o if p in stems) if kept.isdisjoint(o) else [] for o in own]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["stems"])
 
     return run
 
 
-def learn_stems(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shortest: int = 4, longest: int = 10, least: int = 5, precision: float = 0.97) -> dict[str, float]:
+def learn_stems(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shortest: int = 4, longest: int = 10, least: int = 5, precision: float = 0.97, at_once: int = AT_ONCE) -> dict[str, float]:
     """Word beginnings that show a labelled document to be toxic, with weights.
 
     Candidates are in `least` toxic documents or more, and the smoothed share
     of toxic ones among those that have them is at least `precision` (the
     weight). They are taken by that number, the longer of equals last, if
     `least` toxic documents or more have none taken before; so the words that
-    copies of one toxic document happen to share aren't.
+    copies of one toxic document happen to share aren't. All candidates are gone
+    through, `at_once` of them in a pass; a further pass has only those that
+    documents with none taken before still have.
 
     Labels without doc_id or toxic, documents without text and labels without a
     document are left out; without toxic labels no stem is learned. At most
@@ -194,20 +203,30 @@ def learn_stems(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shor
     sample = written(need(df, "doc_id", "text").filter("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic"), "toxicity-sample")
     counts = sample.mapInArrow(_beginnings(shortest, longest), "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.1)
-    rows = counts.filter((F.col("toxic") >= least) & (share >= precision)).select("stem", share.alias("share")).orderBy(F.desc("toxic"), F.length("stem"), "stem").limit(MAX_STEMS).collect()
-    order = {r["stem"]: i for i, r in enumerate(rows)}
-    documents = [set(r["stems"]) for r in sample.filter("_toxic = 1").select("text").mapInArrow(_present(order, shortest, longest), "stems array<int>").filter("size(stems) > 0").collect()] if rows else []
+    candidates = written(counts.filter((F.col("toxic") >= least) & (share >= precision)).select("stem", "toxic", share.alias("share")), "toxicity-candidates")
+    toxic = sample.filter("_toxic = 1")
+    left, kept = candidates, {}
+    while True:
+        rows = left.orderBy(F.desc("toxic"), F.length("stem"), "stem").limit(at_once).collect()
+        order, before = {r["stem"]: i for i, r in enumerate(rows)}, frozenset(kept)
+        documents = [r["stems"] for r in toxic.select("text").mapInArrow(_present(order, shortest, longest, before), "stems array<int>").filter("size(stems) > 0").collect()] if rows else []
+        having: dict[int, list[int]] = {}
+        for d, found in enumerate(documents):
+            for i in found:
+                having.setdefault(i, []).append(d)
+        explained = [False] * len(documents)
+        for i, r in enumerate(rows):
+            new = [d for d in having.get(i, []) if not explained[d]]
+            if len(new) >= least:
+                kept[r["stem"]] = round(float(r["share"]), 4)
+                for d in new:
+                    explained[d] = True
+        if len(rows) < at_once:
+            break
+        still = toxic.select("text", "_toxic").mapInArrow(_beginnings(shortest, longest, frozenset(kept)), "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("toxic").alias("n")).filter(F.col("n") >= least).select("stem")
+        last, size = rows[-1], F.length("stem")
+        later = (F.col("toxic") < last["toxic"]) | (F.col("toxic") == last["toxic"]) & ((size > len(last["stem"])) | (size == len(last["stem"])) & (F.col("stem") > last["stem"]))
+        left = candidates.filter(later).join(still, "stem", "left_semi")
     drop(sample)
-    kept: dict[str, float] = {}
-    having: dict[int, list[int]] = {}
-    for d, found in enumerate(documents):
-        for i in found:
-            having.setdefault(i, []).append(d)
-    explained = [False] * len(documents)
-    for i, r in enumerate(rows):
-        new = [d for d in having.get(i, []) if not explained[d]]
-        if len(new) >= least:
-            kept[r["stem"]] = round(float(r["share"]), 4)
-            for d in new:
-                explained[d] = True
+    drop(candidates)
     return kept
