@@ -15,10 +15,9 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, sf, con, name):
     df = catalogue.QUERIES[name](spark, sf)
+    assert not df.isEmpty()  # an empty result would agree with any other empty one
     if name in catalogue.SQL:
         assert not difference(df, con, catalogue.SQL[name])
-    else:
-        assert df.count() > 0
 
 
 def test_entry(spark):

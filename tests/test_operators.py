@@ -254,3 +254,28 @@ def test_config():
     assert filled(Curation, {"horizon": 8, "episode": {"min_frames": 3}}).episode.min_frames == 3
     with pytest.raises(ValueError):
         filled(Curation, {"nonsense": 1})
+
+
+def test_two_wide_vectors_do_not_mix(spark):
+    """Element 1,000 of the first vector and element 0 of the second are told apart."""
+    rows = [(0, f, [0.0] * 1000 + [float(50 * (f == 3)) + 0.01 * (f % 2)], [0.01 * (f % 2)]) for f in range(8)]
+    df = spark.createDataFrame(rows, "episode_index long, frame_index long, a array<double>, b array<double>")
+    got = discontinuity.timestep_flags(df, {"a": F.col("a"), "b": F.col("b")}, {"k": 8.0}, {"k": 20.0}).filter("severe_discontinuity").collect()
+    assert sorted(r.frame_index for r in got) == [3, 4]
+    own = discontinuity.timestep_flags(df, {"b": F.col("b")}, {"k": 8.0}, {"k": 20.0})
+    assert own.filter("any_discontinuity").count() == 0
+
+
+def test_ranking_with_ties_against_a_loop(spark):
+    r = np.random.default_rng(8)
+    y, s = (r.random(300) < 0.4).astype(int), np.round(r.random(300), 2)
+    df = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, s, strict=True))], "id long, y int, s double").repartition(5)
+    order = sorted(range(300), key=lambda i: (-s[i], i))
+    hits = np.cumsum(y[order])
+    want = float(np.mean([hits[k] / (k + 1) for k, i in enumerate(order) if y[i]]))
+    assert abs(metrics.average_precision(df, "y", "s", "id").first()[0] - want) < 1e-9
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
+    assert abs(metrics.roc_auc(df, "y", "s").first()[0] - auc) < 1e-9
+    curve = {x["score"]: (x["precision"], x["recall"]) for x in metrics.precision_recall_curve(df, "y", "s").collect()}
+    assert len(curve) == len({*s}) and all(abs(p - y[s >= t].mean()) < 1e-9 and abs(q - y[s >= t].sum() / y.sum()) < 1e-9 for t, (p, q) in curve.items())
+    assert math.isnan(metrics.roc_auc(df.filter("y = 1"), "y", "s").first()[0])

@@ -62,9 +62,9 @@ def timestep_flags(frames: DataFrame, vectors: dict[str, Column], ordinary: dict
     threshold parameters. All vectors are one long table: one pass each."""
     out = None
     for i, vector in enumerate(vectors.values()):
-        d = element_deltas(frames, vector).withColumn("dim", F.col("dim") + 1000 * i)
+        d = element_deltas(frames, vector).withColumn("vector", F.lit(i))
         out = d if out is None else out.unionByName(d)
-    keys = (EPISODE, "dim")
+    keys = (EPISODE, "vector", "dim")
     a = thresholds(out, keys, **ordinary).withColumnRenamed("threshold", "t_any")
     b = thresholds(out, keys, **severe).withColumnRenamed("threshold", "t_severe")
     size = F.abs("delta")

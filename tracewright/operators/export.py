@@ -113,7 +113,7 @@ def export_summary(rows: DataFrame, n: Normaliser) -> DataFrame:
     """One row: examples, by side, and the share of encoded elements at a bound."""
     at = F.exists("action_encoded", lambda x: F.abs(x) >= 1.0 - 1e-12)
     on = F.size(F.filter(F.slice("action_encoded", 1, n.dims), lambda x: F.abs(x) >= 1.0 - 1e-12))
-    return rows.agg(F.count("*").alias("n_examples"), *[tally(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")], (F.sum(on) / F.greatest(F.count("*") * n.dims, F.lit(1))).alias("clip_fraction"), tally(at).alias("n_at_bounds"))
+    return rows.agg(F.count("*").alias("n_examples"), *[tally(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")], (F.coalesce(F.sum(on), F.lit(0)) / F.greatest(F.count("*") * n.dims, F.lit(1))).alias("clip_fraction"), tally(at).alias("n_at_bounds"))
 
 
 def diverse_rows(rows: DataFrame, n: int = 6) -> DataFrame:

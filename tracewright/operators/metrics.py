@@ -74,36 +74,63 @@ def by_score(df: DataFrame, y: str, score: str, weight: Column | None = None, by
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.coalesce(F.sum(F.when(F.col(y) == 1, w)), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(F.col(y) == 0, w)), F.lit(0)).alias("neg"))
 
 
+def ranked(df: DataFrame, y: str, score: str, weight: Column | None = None) -> DataFrame:
+    """by_score() with the sums of all lower scores (pos_below, neg_below) and of
+    the table (pos_all, neg_all). Scores are put into ranges of about equal
+    numbers of rows; sums run within a range, and only one row for each range
+    meets the others, so no task sees more than its range of different scores."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    w = weight if weight is not None else F.lit(1)
+    rows = df.select(F.col(score).cast("double").alias("score"), F.when(F.col(y) == 1, w).otherwise(0).alias("pos"), F.when(F.col(y) == 0, w).otherwise(0).alias("neg"))
+    marks = rows.agg(F.percentile_approx("score", [k / n for k in range(1, n)], 20 * n).alias("_marks"))  # one row
+    placed = rows.crossJoin(F.broadcast(marks)).withColumn("range", F.coalesce(F.size(F.filter("_marks", lambda m: m < F.col("score"))), F.lit(0)))
+    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg")]
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    # As many rows as ranges.
+    offsets = placed.groupBy("range").agg(*sums).select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")], *[F.sum(c).over(every).alias(f"{c}_all") for c in ("pos", "neg")])
+    own = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    t = placed.groupBy("range", "score").agg(*sums).withColumns({f"{c}_own": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in ("pos", "neg")})
+    return t.join(F.broadcast(offsets), "range").select("score", "pos", "neg", *[(F.col(f"{c}_before") + F.col(f"{c}_own")).alias(f"{c}_below") for c in ("pos", "neg")], "pos_all", "neg_all")
+
+
 def roc_auc(df: DataFrame, y: str, score: str, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, ties counting half; NaN with one class. Rows
     are first summed by score, so the running sum is over different scores."""
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = by_score(df, y, score, weight, by).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    out = t.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        t = by_score(df, y, score, weight, by).withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    else:
+        t = ranked(df, y, score, weight)
+    out = t.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(*by, ratio(F.col("u").cast("double"), (F.col("p") * F.col("n")).cast("double"), NAN).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, key: str) -> DataFrame:
-    """Mean of precision at each positive, by falling score; ties by rising key."""
-    w = Window.partitionBy().orderBy(F.desc(score), key)
-    ranked = df.select(F.col(y).alias("y"), F.row_number().over(w).alias("rank"), F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    return ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("rank"))).alias("s"), F.sum("y").alias("p")).select(ratio(F.col("s"), F.col("p").cast("double"), NAN).alias("average_precision"))
+    """Mean of precision at each positive, by falling score; ties by rising key.
+    A row's rank is that of its score plus its place among equal scores."""
+    higher = [(F.col(f"{c}_all") - F.col(f"{c}_below") - F.col(c)).alias(f"{c}_above") for c in ("pos", "neg")]
+    scores = ranked(df, y, score).select("score", *higher)
+    w = Window.partitionBy("score").orderBy("key")
+    rows = df.select(F.col(y).alias("y"), F.col(score).cast("double").alias("score"), F.col(key).alias("key"))
+    placed = rows.withColumns({"place": F.row_number().over(w), "own": F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(scores, "score")
+    precision = (F.col("pos_above") + F.col("own")) / (F.col("pos_above") + F.col("neg_above") + F.col("place"))
+    return placed.agg(F.sum(F.when(F.col("y") == 1, precision)).alias("s"), F.sum("y").alias("p")).select(ratio(F.col("s"), F.col("p").cast("double"), NAN).alias("average_precision"))
+
+
+def _at_or_above(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(score, tp, fp, p, n) at each different score."""
+    return ranked(df, y, score).select("score", (F.col("pos_all") - F.col("pos_below")).cast("double").alias("tp"), (F.col("neg_all") - F.col("neg_below")).cast("double").alias("fp"), F.col("pos_all").cast("double").alias("p"), F.col("neg_all").cast("double").alias("n"))
 
 
 def precision_recall_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, precision, recall) at each different score."""
-    w = Window.partitionBy().orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = by_score(df, y, score).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
-    total = t.agg(F.sum("pos").alias("total"))
-    return t.crossJoin(F.broadcast(total)).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), ratio(F.col("tp").cast("double"), F.col("total").cast("double"), NAN).alias("recall"))
+    return _at_or_above(df, y, score).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), ratio(F.col("tp"), F.col("p"), NAN).alias("recall"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, tpr, fpr) at each different score."""
-    w = Window.partitionBy().orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = by_score(df, y, score).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
-    total = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return t.crossJoin(F.broadcast(total)).select("score", ratio(F.col("tp").cast("double"), F.col("p").cast("double"), NAN).alias("tpr"), ratio(F.col("fp").cast("double"), F.col("n").cast("double"), NAN).alias("fpr"))
+    return _at_or_above(df, y, score).select("score", ratio(F.col("tp"), F.col("p"), NAN).alias("tpr"), ratio(F.col("fp"), F.col("n"), NAN).alias("fpr"))
 
 
 def brier(df: DataFrame, y: str, score: str) -> DataFrame:

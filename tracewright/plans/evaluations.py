@@ -133,28 +133,28 @@ def bootstrap_auc(spark, d):
     return metrics.bootstrap_auc(scored(spark, d), _draws(spark), "source", "y", "score")
 
 
-_FIRE = f"{TRAJ}, h AS (SELECT *, sum(CASE WHEN v >= 5 THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hits, CASE WHEN (v >= 5) <> (lag(v) OVER ({W}) >= 5) THEN 1 ELSE 0 END AS flip FROM traj), fire AS (SELECT episode_index, min(CASE WHEN hits >= 4 AND frame_index >= 4 THEN frame_index END) AS f, count(*) AS n, avg(v) AS m, stddev_pop(v) AS s, sum(flip) AS fl FROM h GROUP BY episode_index)"
+_FIRE = f"{TRAJ}, h AS (SELECT *, sum(CASE WHEN v >= 45 THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hits, CASE WHEN (v >= 45) <> (lag(v) OVER ({W}) >= 45) THEN 1 ELSE 0 END AS flip FROM traj), fire AS (SELECT episode_index, min(CASE WHEN hits >= 4 AND frame_index >= 4 THEN frame_index END) AS f, count(*) AS n, avg(v) AS m, stddev_pop(v) AS s, sum(flip) AS fl FROM h GROUP BY episode_index)"
 _EVAL = "e AS (SELECT episode_index, n, f AS trigger_frame, coalesce(f < floor(0.85 * n), false) AS early, coalesce(f >= floor(0.85 * n), false) AS in_terminal, CAST(f - floor(0.85 * n) AS BIGINT) AS latency, m, s, CAST(fl AS BIGINT) AS n_flicker FROM fire)"
 
 
 @query(f"WITH {_FIRE} SELECT episode_index, f AS trigger_frame FROM fire")
 def hysteresis_trigger(spark, d):
-    return sequence.trigger_frames(events(spark, d), "v", 5.0)
+    return sequence.trigger_frames(events(spark, d), "v", 45.0)
 
 
 @query(f"WITH {_FIRE} SELECT episode_index, CAST(fl AS BIGINT) AS n_flicker FROM fire")
 def flicker(spark, d):
-    return sequence.flicker(events(spark, d), "v", 5.0)
+    return sequence.flicker(events(spark, d), "v", 45.0)
 
 
 @query(f"WITH {_FIRE}, {_EVAL} SELECT episode_index, n, trigger_frame, early, in_terminal, latency, round(m, 6) AS mean_score, round(s, 6) AS std_score, n_flicker FROM e")
 def temporal_eval(spark, d):
-    return metrics.temporal_evaluation(events(spark, d), "v", 5.0)
+    return metrics.temporal_evaluation(events(spark, d), "v", 45.0)
 
 
 @query(f"WITH {_FIRE}, {_EVAL} SELECT count(*) AS n_episodes, round(count(trigger_frame) / count(*), 6) AS detected, round(count(*) FILTER (early) / count(*), 6) AS early, round(count(*) FILTER (in_terminal) / count(*), 6) AS in_terminal, round(median(latency), 6) AS median_latency, round(avg(n_flicker), 6) AS mean_flicker FROM e")
 def temporal_rollup(spark, d):
-    return metrics.temporal_rollup(metrics.temporal_evaluation(events(spark, d), "v", 5.0))
+    return metrics.temporal_rollup(metrics.temporal_evaluation(events(spark, d), "v", 45.0))
 
 
 @query(
@@ -175,9 +175,11 @@ def split_join(spark, d):
     return splits.with_split(rows, splits.split_table(spark, _SPLIT)).groupBy("split").agg(F.count("*").alias("n_frames"), F.count_distinct(EPISODE).alias("n_episodes"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_leaking")
+@query(f"WITH {_SIDES}, twice AS (SELECT * FROM sides UNION ALL SELECT DISTINCT user_id % 10, 'val' FROM events WHERE user_id % 3 = 0) SELECT count(*) AS n_leaking FROM (SELECT episode_index FROM twice GROUP BY episode_index HAVING count(DISTINCT split) > 1)")
 def split_leakage(spark, d):
-    return splits.leakage(splits.split_table(spark, _SPLIT)).agg(F.count("*").alias("n_leaking"))
+    """Of a split to which episodes are added on a second side."""
+    added = events(spark, d).filter(F.col(EPISODE) % 3 == 0).select((F.col(EPISODE) % 10).alias(EPISODE), F.lit("val").alias("split")).distinct()
+    return splits.leakage(splits.split_table(spark, _SPLIT).unionByName(added)).agg(F.count("*").alias("n_leaking"))
 
 
 @query()

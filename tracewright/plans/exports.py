@@ -63,7 +63,7 @@ def _curated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
             "sharpness": F.col("k"),
             "mean_luma": F.col("v"),
             "underexposed": F.col("v") < 1.0,
-            "overexposed": F.col("v") > 20.0,
+            "overexposed": F.col("v") > 150.0,
             "low_entropy": F.col("k") < 3.0,
             "exact_duplicate": consecutive() & F.coalesce(F.col("kind") == previous("kind"), F.lit(False)),
             "near_lossless_duplicate": F.lit(False),
@@ -82,7 +82,7 @@ def _curated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return episodes, timesteps, windows
 
 
-_TS = f"""{TRAJ}, x0 AS (SELECT *, v < 0.05 AS fail, v > 20 AS over, coalesce(kind = lag(kind) OVER ({W}), false) AS dup, coalesce(abs(v - lag(v) OVER ({W})), 0) AS mo, count(*) OVER (PARTITION BY episode_index) >= 64 AS acc, v - lag(v) OVER ({W}) AS dv, k - lag(k) OVER ({W}) AS dk FROM traj),
+_TS = f"""{TRAJ}, x0 AS (SELECT *, v < 0.05 AS fail, v > 150 AS over, coalesce(kind = lag(kind) OVER ({W}), false) AS dup, coalesce(abs(v - lag(v) OVER ({W})), 0) AS mo, count(*) OVER (PARTITION BY episode_index) >= 64 AS acc, v - lag(v) OVER ({W}) AS dv, k - lag(k) OVER ({W}) AS dk FROM traj),
 e AS (SELECT episode_index, coalesce(quantile_cont(mo, 0.5) FILTER (frame_index > 0), 0) AS m, quantile_cont(k, 0.05) AS ls, greatest(20 * greatest(coalesce(mad(dv), 0), 1e-6), 0.05, 0.25 * (max(v) - min(v))) AS tv, greatest(20 * greatest(coalesce(mad(dk), 0), 1e-6), 0.05, 0.25 * (max(k) - min(k))) AS tk FROM x0 GROUP BY episode_index),
 x1 AS (SELECT *, CASE WHEN m > 0 THEN mo >= m ELSE mo > 0 END AS mv, dup AND (CASE WHEN m > 0 THEN mo >= m ELSE mo > 0 END) AS fz FROM x0 JOIN e USING (episode_index)),
 x2 AS (SELECT *, frame_index - row_number() OVER (PARTITION BY episode_index, over ORDER BY frame_index) AS io, frame_index - row_number() OVER (PARTITION BY episode_index, fz ORDER BY frame_index) AS iz FROM x1),
