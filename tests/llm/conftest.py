@@ -6,14 +6,14 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from llm_helpers import prose  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep string, rep int, token_ids string, slot string, _toxic int, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep string, rep int, token_ids string, slot string, _toxic int, word string, `a.b` string, TEXT string"
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, empty and very long texts, repeated rows, ties and
     columns whose names clash with those of results."""
-    extra = ("x", "y", 7, "z", "w", 1, "v")
+    extra = ("x", "y", 7, "z", "w", 1, "v", "dotted", "capital")
     rows = [
         (1, prose(1, 80), "en", "a", 500),
         (2, prose(1, 80), "en", "a", 500),

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from llm_helpers import prose
 
 from tracewright.llm import simhash as s
+from tracewright.llm.textcodes import Grams
 
 
 def varied(text, n, seed):
@@ -96,9 +98,32 @@ def test_groups_against_union_find(spark):
 
 
 def test_long_chain(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
-    got = {r.node: r.root for r in s.components(chain).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    """A chain in order of id, as versions of a page make it, takes few rounds."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(10_000, 10_001)], "u long, v long").repartition(4)
+    rounds = []
+    got = {r.node: r.root for r in s.components(chain, rounds).collect()}
+    assert got == {i: 0 for i in range(3001)} | {10_000: 10_000, 10_001: 10_000}
+    assert len(rounds) <= 18 and rounds[0] < 0.75 * 3001
+
+
+def test_scripts_without_spaces_signs_and_short_words(spark):
+    r = random.Random(3)
+    han = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(400))
+    kana = "".join(chr(r.randrange(0x3041, 0x3096)) for _ in range(400))
+    short = " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("0123456789") for _ in range(300))
+    rows = [("h1", han), ("h2", han[:200] + "一" + han[201:]), ("k1", kana), ("k2", kana + "。"), ("s1", "!!!"), ("s2", "!!!"), ("s3", "---"), ("w1", short), ("w2", short + " zz"), ("e1", " "), ("e2", " ")]
+    got = {x.doc_id: x.group_id for x in s.groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"h1": "h1", "h2": "h1", "k1": "k1", "k2": "k1", "s1": "s1", "s2": "s1", "w1": "w1", "w2": "w1"}
+
+
+def test_features_by_hand():
+    column = pa.array(["abc d abc", "x" * 14, "", None, " \n", "?!", "é"])
+    found = {}
+    for a, _, row, code, size in Grams()(column):
+        for i, c, n in zip(row.tolist(), code.tolist(), size.tolist(), strict=True):
+            found.setdefault(i + a, []).append((c, n))
+    assert {i: [n for _, n in v] for i, v in found.items()} == {0: [3, 1, 3], 1: [12, 12, 12], 5: [12], 6: [2]}
+    assert found[0][0] == found[0][2] and len({*found[1]}) == 1
 
 
 def test_odd_rows(odd, none):
@@ -112,5 +137,6 @@ def test_odd_rows(odd, none):
 
 
 def test_repeated_rows_alone(spark):
-    df = spark.createDataFrame([(1, prose(1, 50)), (1, prose(1, 50)), (2, prose(2, 50))], "doc_id long, text string")
-    assert sorted(r.doc_id for r in s.keep_one(df).collect()) == [1, 2]
+    df = spark.createDataFrame([(1, prose(1, 50)), (1, prose(1, 50)), (2, prose(2, 50)), (2, prose(3, 50))], "doc_id long, text string")
+    kept = s.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 2] and {r.text for r in kept} == {prose(i, 50) for i in (1, 2, 3)}

@@ -94,6 +94,25 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """df with every other column than the named ones (of those spelt alike the
+    first) called by its place, so that no name clashes, holds a dot or differs
+    from another by case only. toDF(*df.columns) gives the names back."""
+    left = set(names)
+    out = []
+    for i, n in enumerate(df.columns):
+        out.append(n if n in left else f"__tw{i}")
+        left.discard(n)
+    if left:
+        raise ValueError(f"columns {sorted(left)} are missing")
+    return df.toDF(*out)
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others can't clash with what is added."""
-    return df.select(*[df[n] for n in names])
+    return renamed(df, *names).select(*names)
+
+
+def kind(df: DataFrame, name: str) -> str:
+    """The named column's type, as in a schema string: ids of any type are kept as they are."""
+    return next(f for f in df.schema.fields if f.name == name).dataType.simpleString()

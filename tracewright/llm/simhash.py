@@ -11,15 +11,22 @@ around their bits, of radii ceil(t_i / 2) and floor(t_i / 2), which meet exactly
 for pairs within t_i; each pair is verified, at one meeting point only, to be
 within tau on the probe word and within tau_all on all 128 bits.
 
-Features are the distinct words of 4 bytes or more (all words, if there are
-fewer than `least` of these). Equal fingerprints are merged before the search,
-so exact copies cost nothing. Groups are connected components of the pairs, by
-repeated contraction to the least neighbour.
-
-Edge cases: a null text, and one without words, is in no group; a row with a
-null doc_id isn't either (and stays); rows that share a doc_id are one document,
-near anything that one of its texts is near; ties (equal fingerprints) are
-copies; the least doc_id of a group is kept; an empty table gives no groups.
+Features are the distinct words, weighted by their length in bytes, so that
+short words, which most texts share, say little. A run of more than 12 bytes
+counts by all its windows of 12 (so does a text of a script without spaces),
+and a text without a letter or digit is one feature as a whole. Equal
+fingerprints are merged before the search, so exact copies cost nothing. Groups
+are connected components of the pairs, by repeated contraction to a neighbour
+of random rank, which takes rounds by the logarithm of the longest chain.
+
+Edge cases: a null text, and one of white space only, is in no group; a row
+with a null doc_id isn't either (and stays); rows that share a doc_id are one
+document, near anything that one of its texts is near, and keep_one() keeps the
+different texts of a document that stays; ties (equal fingerprints) are copies;
+the least doc_id of a group is kept; doc_id may be of any type with an order; an
+empty table gives no groups; other columns, whatever their names, are carried
+along. A very long text takes some 60 bytes of a task's memory for each of its
+own.
 """
 
 from __future__ import annotations
@@ -33,46 +40,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .textcodes import U8, Words, mix
+from .common import drop, kind, need, renamed, written
+from .textcodes import U8, Grams, mix
 
 BITS = 64
 #: Differing bits allowed on the probe word, and on both words.
 TAU, TAU_ALL = 8, 20
-LEAST_WORDS = 4
 PARTITIONS = (2, 3, 4)
 #: Cost of verifying a candidate, in emitted probe rows.
 VERIFY = 0.25
 
 
-def bit_counts(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of keys (64 bits) the number that have each bit, least first."""
+def bit_counts(keys: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each run of keys (64 bits) the weight of those that have each bit, least first."""
     bits = np.unpackbits(keys.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    bits *= weight[:, None]
+    return np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
 
 
-def fingerprints_of(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows that have words, probe words, second words)."""
+def fingerprints_of(column: pa.Array, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that have features, probe words, second words)."""
     rows, first, second = [], [], []
-    for a, _, row, code, length in words(column):
+    for a, _, row, code, length in grams(column):
         if not len(row):
             continue
-        count = np.bincount(row[length >= 4], minlength=row[-1] + 1)
-        keep = (length >= 4) | (count[row] < LEAST_WORDS)
-        # Words of a row, sorted and distinct: 20 bits of the row above 44 of the code.
-        key = np.unique((row[keep].astype(U8) << U8(44)) | (code[keep] >> U8(20)))
+        # Features of a row, sorted and distinct: 20 bits of the row, 40 of the code, 4 of the weight.
+        key = np.unique((row.astype(U8) << U8(44)) | (code >> U8(24) << U8(4)) | length.astype(U8))
         own = (key >> U8(44)).astype(np.int64)
         starts = np.flatnonzero(np.diff(own, prepend=-1))
-        total = np.diff(np.append(starts, len(own)))[:, None]
-        key &= U8((1 << 44) - 1)
+        weight = (key & U8(15)).astype(np.uint8)
+        total = np.add.reduceat(weight, starts, dtype=np.int64)[:, None]
+        key = (key >> U8(4)) & U8((1 << 40) - 1)
         rows.append(own[starts] + a)
         for out, salt in ((first, 0x5851F42D4C957F2D), (second, 0x14057B7EF767814F)):
-            n = 2 * bit_counts(mix(key ^ U8(salt)), starts)
-            out.append(packed(n > total))
+            out.append(packed(2 * bit_counts(mix(key ^ U8(salt)), starts, weight) > total))
     if not rows:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -80,16 +85,16 @@ def fingerprints_of(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndar
 
 
 def _fingerprinter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
+    grams = Grams()
     for batch in batches:
-        rows, a, b = fingerprints_of(batch.column(1), words)
+        rows, a, b = fingerprints_of(batch.column(1), grams)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(a), pa.array(b)], names=["doc_id", "a", "b"])
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """(doc_id, a, b) of the rows that have a doc_id and words."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(_fingerprinter, "doc_id long, a long, b long")
+    """(doc_id, a, b) of the rows that have a doc_id and features."""
+    rows = need(df, "doc_id", "text").select("doc_id", F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
+    return rows.mapInArrow(_fingerprinter, f"doc_id {kind(df, 'doc_id')}, a long, b long")
 
 
 def _bit_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +214,7 @@ def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau
     distinct: (rep, a, b)."""
     spark = distinct.sparkSession
     if not thresholds:
-        return spark.createDataFrame([], "u long, v long")
+        return spark.createDataFrame([], f"u {kind(distinct, 'rep')}, v {kind(distinct, 'rep')}")
 
     def side(prefix: str, radius_of) -> DataFrame:
         rows = []
@@ -241,23 +246,38 @@ def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau
     return joined.filter(here).select(F.col("lrep").alias("u"), F.col("rrep").alias("v"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, root) of all nodes of the pairs; root is the least node reached.
-    Each round maps a node to its least neighbour and contracts the graph."""
+    Each round maps a node to that of its neighbours (or itself) which has the
+    least rank, drawn anew each round, and contracts the graph. On a chain, in
+    whatever order, that leaves about half of the nodes. rounds: gets how many
+    edges each round left."""
     edges = pairs
     maps: list[DataFrame] = []
     while True:
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c).alias("h"), F.col(c).alias("to"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("r")), "components-map")
+        to = written(both.groupBy("u").agg(F.least(F.min(rank("v")), F.first(rank("u")))["to"].alias("r")), "components-map")
         maps.append(to)
         f, g = to.select(F.col("u"), F.col("r").alias("ru")), to.select(F.col("u").alias("v"), F.col("r").alias("rv"))
-        edges = written(edges.join(f, "u").join(g, "v").filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "components-edges")
-        if edges.isEmpty():
+        left = written(edges.join(f, "u").join(g, "v").filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "components-edges")
+        if edges is not pairs:
+            drop(edges)
+        edges = left
+        n = edges.count()
+        if rounds is not None:
+            rounds.append(n)
+        if not n:
             break
+    drop(edges)
     out = maps[0].select(F.col("u").alias("node"), F.col("r").alias("root"))
     for m in maps[1:]:
         out = out.join(m.select(F.col("u").alias("root"), F.col("r").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
-    return out
+    out = written(out, "components-roots")
+    for m in maps:
+        drop(m)
+    least = out.groupBy("root").agg(F.min("node").alias("least"))
+    return out.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def groups(df: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
@@ -269,21 +289,25 @@ def groups(df: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
     found = written(near_pairs(distinct, plan(distinct, tau), tau, tau_all), "simhash-pairs")
     copies = prints.select("doc_id", F.min("doc_id").over(by).alias("rep"))
     # A rep with several fingerprints (rows that share a doc_id) joins them all.
-    links = copies.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).unionByName(found.filter("u <> v")).distinct()
-    own = written(components(written(links, "simhash-links")), "simhash-components")
+    links = written(copies.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).unionByName(found.filter("u <> v")).distinct(), "simhash-links")
+    for t in (prints, distinct, found):
+        drop(t)
+    own = written(components(links), "simhash-components")
+    drop(links)
     sized = own.withColumn("group_size", F.count("*").over(Window.partitionBy("root")))
     return sized.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), "group_size", (F.col("node") == F.col("root")).alias("keep"))
 
 
 def keep_one(df: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
     """df without the documents that groups() doesn't keep, all columns; of rows
-    that share a doc_id one stays (the first by text, then by the rest)."""
+    that share doc_id and text one stays (the first by the other columns)."""
+    names, df = df.columns, renamed(df, "doc_id", "text")
     gone = written(groups(df, tau, tau_all).filter("not keep").select(F.col("doc_id").alias("_gone")), "simhash-gone")
     left = df.join(gone, df["doc_id"] == gone["_gone"], "left_anti")
-    repeated = written(df.filter(df["doc_id"].isNotNull()).groupBy(df["doc_id"].alias("_again")).count().filter("count > 1").select("_again"), "simhash-repeated")
+    repeated = written(df.filter("doc_id is not null").groupBy(df["doc_id"].alias("_again")).count().filter("count > 1").select("_again"), "simhash-repeated")
     if repeated.isEmpty():
-        return left
+        return left.toDF(*names)
     once = left.join(repeated, left["doc_id"] == repeated["_again"], "left_anti")
-    order = [F.col("text"), *[F.col(c).cast("string") for c in df.columns if c not in ("text", "doc_id")]]
-    again = left.join(repeated, left["doc_id"] == repeated["_again"], "left_semi").withColumn("__tracewright_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("__tracewright_rank = 1").drop("__tracewright_rank")
-    return once.unionByName(again)
+    order = [F.col(c).cast("string") for c in df.columns if c not in ("text", "doc_id")] or [F.lit(0)]
+    again = left.join(repeated, left["doc_id"] == repeated["_again"], "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order))).filter("_rank = 1").drop("_rank")
+    return once.unionByName(again).toDF(*names)

@@ -52,6 +52,25 @@ def pieces(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def runs(buf: np.ndarray, o: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes of a class begin and end; o: offsets of rows, which end runs."""
+    n = len(buf)
+    w = inside[buf]
+    first = np.zeros(n + 1, dtype=bool)
+    first[o] = True
+    before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    before[1:], after[:-1] = w[:-1], w[1:]
+    return np.flatnonzero(w & (~before | first[:-1])), np.flatnonzero(w & (~after | first[1:])) + 1
+
+
+#: A feature is a whole word of up to so many bytes; a longer run has one for each window of them.
+WINDOW = 12
+
+
 class Words:
     """Yields (first row, row after the last, row of each word counted from the
     first, code of each word, length in bytes of each word)."""
@@ -59,21 +78,51 @@ class Words:
     def __init__(self, most: int = 1 << 20):
         self.most, self.up, self.down = most, powers(0, BASE), powers(0, INVERSE)
 
+    def grow(self, n: int) -> None:
+        if n >= len(self.up):
+            self.up, self.down = powers(max(n, self.most), BASE), powers(max(n, self.most), INVERSE)
+
+    def codes(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Of the bytes from s to e."""
+        sums = np.zeros(len(buf) + 1, dtype=U8)
+        np.cumsum((buf.astype(U8) + U8(1)) * self.up[: len(buf)], out=sums[1:])
+        return mix((sums[e] - sums[s]) * self.down[s])
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        data, off = buffers(column)
+        for a, b in pieces(off, self.most):
+            buf, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
+            self.grow(len(buf))
+            s, e = runs(buf, o, IS_WORD)
+            yield a, b, np.searchsorted(o, s, side="right") - 1, self.codes(buf, s, e), e - s
+
+
+class Grams(Words):
+    """Yields (first row, row after the last, row of each feature, its code, its
+    length). A word of up to WINDOW bytes is a feature; a longer run of word
+    bytes (scripts without spaces are such runs) has one for each window of
+    WINDOW bytes in it; a row without any word, but with other than white space,
+    is one feature as a whole, of length WINDOW."""
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         data, off = buffers(column)
         for a, b in pieces(off, self.most):
             buf, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
             n = len(buf)
-            if n >= len(self.up):
-                self.up, self.down = powers(max(n, self.most), BASE), powers(max(n, self.most), INVERSE)
-            w = IS_WORD[buf]
-            first = np.zeros(n + 1, dtype=bool)
-            first[o] = True
-            before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-            before[1:], after[:-1] = w[:-1], w[1:]
-            s = np.flatnonzero(w & (~before | first[:-1]))
-            e = np.flatnonzero(w & (~after | first[1:])) + 1
-            sums = np.zeros(n + 1, dtype=U8)
-            np.cumsum((buf.astype(U8) + U8(1)) * self.up[:n], out=sums[1:])
-            code = mix((sums[e] - sums[s]) * self.down[s])
-            yield a, b, np.searchsorted(o, s, side="right") - 1, code, e - s
+            self.grow(n)
+            s, e = runs(buf, o, IS_WORD)
+            more = np.maximum(e - s - WINDOW, 0)
+            start = np.repeat(s, more + 1)
+            start += np.arange(len(start)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+            end = np.minimum(np.repeat(e, more + 1), start + WINDOW)
+            row = np.searchsorted(o, start, side="right") - 1
+            size = end - start
+            ink = np.zeros(b - a, bool)
+            spot = np.flatnonzero(~IS_SPACE[buf])
+            ink[np.searchsorted(o, spot, side="right") - 1] = True
+            ink[row] = False
+            bare = np.flatnonzero(ink)
+            if len(bare):
+                row, start, end = np.append(row, bare), np.append(start, o[bare]), np.append(end, o[bare + 1])
+                size = np.append(size, np.full(len(bare), WINDOW))
+            yield a, b, row, self.codes(buf, start, end), size
