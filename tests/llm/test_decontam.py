@@ -27,7 +27,7 @@ def test_myers_against_the_full_table():
 
 
 def test_pieces_cover_the_item():
-    for m in (1, 11, 12, 40, 333):
+    for m in (1, 11, 13, 40, 333):
         item = "x" * m
         k = d.budget_of(m)
         parts = d.pieces_of(item, k)
@@ -44,14 +44,14 @@ def edited(text, n, seed):
 
 
 def test_against_brute_force(spark):
-    items = [(i, prose(100 + i, 25)) for i in range(6)] + [(50, None), (51, ""), (52, "!!"), (7, prose(103, 25))]
+    items = [(i, prose(100 + i, 25)) for i in range(6)] + [(50, None), (51, ""), (52, "!!"), (7, prose(103, 25)), (60, "bo"), (61, "lone item")]
     docs = []
     for i in range(40):
         body = prose(i, 40)
         if i % 2:
             body += ". " + edited(items[i % 6][1], i % 11 * 2, i).upper() + "; " + prose(900 + i, 20)
         docs.append((i, body))
-    docs += [(None, items[0][1]), (77, None), (78, ""), (79, items[1][1]), (79, items[1][1])]
+    docs += [(None, items[0][1]), (77, None), (78, ""), (79, items[1][1]), (79, items[1][1]), (80, "Bo"), (81, "bo hello"), (82, "a lone item here"), (83, "lone item!")]
     dd, bb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     import re
 
@@ -60,17 +60,31 @@ def test_against_brute_force(spark):
     for i, t in docs:
         for n, item in items:
             if t and item and norm(item):
-                k, e = d.budget_of(len(norm(item))), distance(norm(item), norm(t))
+                k, e = d.budget_of(len(norm(item))), distance(f" {norm(item)} ", f" {norm(t)} ")
+                if len(norm(item)) < d.WHOLE_CHARS:
+                    e = max(e, distance(f" {norm(t)} ", f" {norm(item)} "))
                 if e <= k:
                     want.add((i, n, e))
-    for chars in (d.SLICE_CHARS, 400):
-        got = [tuple(r)[:3] for r in d.find(dd, bb, slice_chars=chars).collect()]
+    assert {(80, 60), (83, 61)} <= {(i, n) for i, n, _ in want} and not {81, 82} & {i for i, *_ in want}
+    for sizes in ({}, {"slice_chars": 400, "group_chars": 900}, {"slice_chars": 300, "pass_chars": 600}):
+        got = [tuple(r)[:3] for r in d.find(dd, bb, **sizes).collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    kept = d.keep_clean(dd, bb, slice_chars=400)
+    named = bb.selectExpr("concat('Set/', item_id) as item_id", "text", "1 as `x.y`")
+    assert {(r.doc_id, int(r.item_id[4:]), r.distance) for r in d.find(dd, named).collect() if r.item_id} == want
+    kept = d.keep_clean(dd, bb, slice_chars=400, pass_chars=800)
     leaking = {i for i, _, _ in want}
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - leaking
 
 
+def test_one_scan_for_many_slices(spark):
+    dd = spark.createDataFrame([(i, prose(i, 40)) for i in range(10)], "doc_id long, text string")
+    bb = spark.createDataFrame([(i, prose(500 + i, 30)) for i in range(50)], "item_id long, text string")
+    plan = d.find(dd, bb, slice_chars=300)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    passes = list(d._passes(bb, 300, 20_000_000))
+    assert len(passes) == 1 and len(passes[0]) > 20 and sum(map(len, passes[0])) == 50
+
+
 def test_odd_rows(spark, odd, none):
     b = spark.createDataFrame([(1, "zzzz zzzz zzzz zzzz zzzz")], "item_id long, text string")
     assert d.find(odd, b).count() == 0 and d.find(none, b).count() == 0

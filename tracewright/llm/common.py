@@ -113,6 +113,13 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return renamed(df, *names).select(*names)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df less the columns of exactly these names."""
+    kept = [i for i, n in enumerate(df.columns) if n not in names]
+    plain = df.toDF(*[f"__tw{i}" for i in range(len(df.columns))])
+    return plain.select(*[f"__tw{i}" for i in kept]).toDF(*[df.columns[i] for i in kept]) if len(kept) < len(df.columns) else df
+
+
 def kind(df: DataFrame, name: str) -> str:
     """The named column's type, as in a schema string: ids of any type are kept as they are."""
     return next(f for f in df.schema.fields if f.name == name).dataType.simpleString()
