@@ -39,7 +39,8 @@ def test_placement(odd, none):
 
     table = s.lookup_table(s.shard_names(s.N_SHARDS))
     out = s.shards(odd)
-    assert out.columns == [c for c in odd.columns if c not in ("slot", "shard")] + ["slot", "shard"]
+    assert out.columns == [c for c in odd.columns if c not in ("slot", "shard")] + ["slot", "shard"] and "a.b" in out.columns
+    assert s.place(odd).columns == out.columns
     rows = out.collect()
     assert len(rows) == odd.count()
     for r in rows:
@@ -51,8 +52,10 @@ def test_placement(odd, none):
 
 def test_a_partition_is_a_shard(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "'t' as text")
-    per = s.shards(df, s.shard_names(8), 101).selectExpr("shard", "spark_partition_id() as p").distinct().collect()
-    assert len(per) == 8 and len({r.p for r in per}) == 8
+    for n, m, parts in ((8, 101, 1), (8, 101, 3), (300, 7919, 2)):
+        per = s.shards(df, s.shard_names(n), m, parts).selectExpr("shard", "spark_partition_id() as p").distinct().collect()
+        assert len({r.p for r in per}) == len(per) and max(sum(r.shard == x.shard for x in per) for r in per[:8]) <= parts
+        assert parts > 1 or len(per) == n
 
 
 def test_sql(spark, sf):

@@ -8,8 +8,10 @@ m, so placement is one lookup; adding or removing a shard moves few others'
 slots. The table has m rows whatever the size of the data, so it is broadcast.
 
 The key is doc_id; a document without one is placed by its text. Repeated rows
-go to the same shard; a row with neither goes by the empty key. Other columns
-are carried along, but for `slot` and `shard`, which are replaced.
+go to the same shard; a row with neither goes by the empty key; an empty table has
+no rows. Other columns, whatever their names, are carried along, but for `slot`
+and `shard`, which are replaced. doc_id may be of any type; very long texts and
+ties make no difference. Any number of shards has `parts` partitions for each.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import renamed, without
+
 N_SHARDS = 64
 #: A prime of a hundred times the shards and more keeps them even within 1 %.
 TABLE_SIZE = 7_919
+#: Partitions of a shard.
+PARTS = 4
 
 
 def shard_names(n: int) -> list[str]:
@@ -64,27 +70,28 @@ def slot_of(key: Column, m: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(key, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(m).cast("long"))
 
 
+def _placed(df: DataFrame, names: list[str], m: int) -> DataFrame:
+    """The columns of df by place, then slot, shard and the shard's number."""
+    spark = df.sparkSession
+    table = spark.createDataFrame([(int(s), names[i], int(i)) for s, i in enumerate(lookup_table(names, m))], "slot long, shard string, __number int")
+    rows = renamed(df, "doc_id", "text")
+    placed = rows.withColumn("slot", slot_of(F.coalesce(F.col("doc_id").cast("string"), "text"), m))
+    return placed.join(F.broadcast(table), "slot", "left").select(*rows.columns, "slot", "shard", "__number")
+
+
 def place(df: DataFrame, names: list[str] | None = None, m: int = TABLE_SIZE) -> DataFrame:
     """All columns of df, then slot and shard; no row moves."""
-    names = names or shard_names(N_SHARDS)
-    df = df.drop("slot", "shard")
-    spark = df.sparkSession
-    table = spark.createDataFrame([(int(s), names[i]) for s, i in enumerate(lookup_table(names, m))], "slot long, shard string")
-    key = F.coalesce(df["doc_id"].cast("string"), df["text"])
-    placed = df.withColumn("slot", slot_of(key, m))
-    return placed.join(F.broadcast(table), "slot", "left").select(*df.columns, "slot", "shard")
+    df = without(df, "slot", "shard")
+    return _placed(df, names or shard_names(N_SHARDS), m).drop("__number").toDF(*df.columns, "slot", "shard")
 
 
-def shards(df: DataFrame, names: list[str] | None = None, m: int = TABLE_SIZE) -> DataFrame:
-    """place(), with every shard's rows in one partition: the one shuffle that
-    writing a file for each shard takes. A partition is a shard, so that none
-    holds two."""
-    names = names or shard_names(N_SHARDS)
-    placed = place(df, names, m)
-    number = F.array_position(F.array(*map(F.lit, names)), F.col("shard")) - 1 if len(names) <= 256 else None
-    if number is None:
-        return placed.repartition(len(names), "shard")
-    return placed.repartitionById(len(names), number.cast("int"))
+def shards(df: DataFrame, names: list[str] | None = None, m: int = TABLE_SIZE, parts: int = PARTS) -> DataFrame:
+    """place(), with every shard's rows in `parts` partitions of its own: the one
+    shuffle that writing a shard's files takes, without a task for a whole shard."""
+    names, df = names or shard_names(N_SHARDS), without(df, "slot", "shard")
+    placed = _placed(df, names, m)
+    part = F.col("__number") * parts + F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(parts)).cast("int")
+    return placed.repartitionById(len(names) * parts, part).drop("__number").toDF(*df.columns, "slot", "shard")
 
 
 def oracle_sql(names: list[str] | None = None, m: int = TABLE_SIZE) -> str:
