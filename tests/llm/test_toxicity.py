@@ -1,4 +1,5 @@
 import random
+import time
 
 from tracewright.llm import toxicity as t
 
@@ -20,6 +21,51 @@ def test_boundaries_and_exceptions():
     assert weigh("idiotpost", {"idiot": 1.0})[1] == 1
 
 
+def test_boundaries_are_those_of_the_written_text():
+    for text in ("@idiot", "you $idiot", "idiot1", "stupid5!", "@moron", "22idiot", "(idiot)"):
+        assert weigh(text)[1] == 1, text
+    for text in ("me@idiotic.com idiot1c", "xidiot", "idiots1e", "pre5cum", "hate5d"):
+        assert weigh(text)[1] <= ("@" in text), text
+    for text in ("trash  can", "trash\n can", "a trash\tcan"):
+        assert weigh(text)[1] == 0, text
+
+
+def test_long_texts_with_many_exceptions():
+    began = time.process_time()
+    assert weigh("trash can and trash; " * 30_000)[1:] == (30_000, 120_000)
+    assert time.process_time() - began < 20
+
+
+def test_random_texts_against_brute_force():
+    """Every place and every entry, with exceptions and stems, by definition."""
+    r = random.Random(11)
+    stems = {"grub": 0.9, "tra": 0.3}
+    entries, table = t.lexicon(stems=stems), t.fold_table()
+    found = t.automaton(entries)
+    folded = [(t.fold(e, table), w, k) for e, w, k in entries]
+    parts = ["trash", "can", "trash can", "idiot", "1d10t", "grubby", "x", "5", "@", ".", " ", "  ", "scum", "pond scum", "hate", "hate crime", "tra", "IDIOTS", "é", "1"]
+    for _ in range(400):
+        text = "".join(r.choice(parts) + r.choice(["", " ", " ", "-"]) for _ in range(r.randint(1, 12)))
+        base = " ".join(text.lower().split())
+        flat = base.translate(table)
+        got = []
+        for s in range(len(flat)):
+            left = base[:s].rstrip("0123456789²³¹@$")
+            for e, w, k in folded:
+                if flat.startswith(e, s) and not left[-1:].isalpha():
+                    right = base[s + len(e) :].lstrip("0123456789²³¹@$")
+                    if k == "stem" or not right[:1].isalpha():
+                        got.append((s, s + len(e), w, k))
+        spared = [(a, b) for a, b, _, k in got if k == "exception"]
+        best = {}
+        for a, b, w, k in got:
+            if k != "exception":
+                best[a] = max(best.get(a, (0.0, 0)), (w, b))
+        kept = [w for a, (w, b) in best.items() if not any(c <= a and b <= d for c, d in spared)]
+        weight, n, words = t.hits(text, found, table)
+        assert (n, words) == (len(kept), len(text.split())) and abs(weight - sum(kept)) < 1e-9, text
+
+
 def test_brute_force():
     """Against a scan of every word with the folded lexicon."""
     table = t.fold_table()

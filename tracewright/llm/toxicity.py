@@ -4,29 +4,37 @@ Method: a weighted lexicon matched by Aho-Corasick over the folded text.
 Folding lowers the case, strips accents, maps look-alike letters of other
 scripts to Latin ones and digits and signs to the letters they stand for, so
 that "1d10t" and "іdiot" are found as "idiot"; lexicon and exceptions are
-folded alike. A hit must begin a word; a word entry must also end it, a stem
-entry needn't. Hits inside an exception phrase don't count. The score is the
-hits' weight per 100 words.
+folded alike, and each run of white space is one space. A hit must begin a word;
+a word entry must also end it, a stem entry needn't. Where a word ends is seen in
+the text as it was written: digits and signs beside a hit belong to a word only
+if there is a letter beyond them ("@idiot" and "idiot1" are hits, "idiot1c"
+isn't). Hits inside an exception phrase don't count. The score is the hits'
+weight per 100 words.
 
 Besides the fixed list, stems are learned: word beginnings that the labelled
 documents show to be toxic, at most `max_rows` labelled rows being read.
 
 Edge cases: a null or empty text scores 0 and isn't toxic; rows with a null
-doc_id and repeated rows are scored each by itself; other columns are ignored
-by score() and kept by keep_clean().
+doc_id and repeated rows are scored each by itself; doc_id may be of any type;
+of hits that begin at one place (ties too) one counts; an empty table gives no
+rows; other columns, whatever their names, are ignored by score() and kept by
+keep_clean(). The time for a text goes by its length and hits, and a task holds
+a very long one three times.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, need, written
+from .common import drop, kind, need, renamed, written
 
 #: Labelled rows that stems are learned from, at most: the bound of the sample.
 MAX_ROWS = 20_000
@@ -53,6 +61,7 @@ _ALIKE = {
     "q": "ԛ", "r": "гг", "s": "ѕ", "t": "тτ", "u": "υцս", "v": "ѵνⅴ", "w": "ԝω", "x": "хχ", "y": "уγү", "z": "ᴢ",
 }
 _STANDS_FOR = {"0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g"}
+_SIGNS = frozenset(c for c in _STANDS_FOR if not c.isalpha())
 
 
 def fold_table() -> dict[int, str | None]:
@@ -70,8 +79,17 @@ def fold_table() -> dict[int, str | None]:
     return table | {ord(a): b for a, b in _STANDS_FOR.items()}
 
 
+def clean(text: str, table: dict[int, str | None]) -> str:
+    """In lower case, without invisible characters, white space as single spaces."""
+    text = text.lower()
+    if not text.isascii():
+        text = text.translate({c: to for c, to in table.items() if to is None})
+    return " ".join(text.split())
+
+
 def fold(text: str, table: dict[int, str | None]) -> str:
-    return text.lower().translate(table)
+    """Character for character of clean()."""
+    return clean(text, table).translate(table)
 
 
 def automaton(entries: list[tuple[str, float, str]]):
@@ -96,34 +114,49 @@ def lexicon(words: dict[str, float] = WORDS, exceptions: tuple[str, ...] = EXCEP
     return [*((w, x, "word") for w, x in words.items()), *((s, x, "stem") for s, x in (stems or {}).items()), *((e, 2.0, "exception") for e in exceptions)]
 
 
-def hits(text: str, found, table: dict[int, str | None]) -> tuple[float, int, int]:
+def ends_word(text: str, at: int, way: int) -> bool:
+    """Whether a word ends before the character at `at`, seen from a hit and
+    looking on by `way`; text: as clean() leaves it."""
+    while 0 <= at < len(text) and (text[at].isdigit() or text[at] in _SIGNS):
+        at += way
+    return not (0 <= at < len(text) and text[at].isalpha())
+
+
+def hits(text: str, found, table: dict[int, str | None], plain: dict[int, None] | None = None) -> tuple[float, int, int]:
     """(weight, hits, words) of a text; of hits that begin at one place the
-    heaviest counts, then the longest."""
-    folded = fold(text, table)
-    n = len(folded)
+    heaviest counts, then the longest. plain: of the table what is left out."""
+    base = text.lower()
+    if not base.isascii():
+        base = base.translate(plain if plain is not None else {c: to for c, to in table.items() if to is None})
+    words = base.split()
+    base = " ".join(words)
+    folded = base.translate(table)
     best: dict[int, tuple[float, int]] = {}
     spared = []
     for last, (size, weight, kind) in found.iter(folded) if len(found) else ():
         start = last - size + 1
-        if start and folded[start - 1].isalnum():
-            continue
-        if kind != "stem" and last + 1 < n and folded[last + 1].isalnum():
+        if not ends_word(base, start - 1, -1) or kind != "stem" and not ends_word(base, last + 1, 1):
             continue
         if kind == "exception":
             spared.append((start, last))
         elif (weight, last) > best.get(start, (0.0, 0)):
             best[start] = (weight, last)
-    kept = [w for s, (w, e) in best.items() if not any(a <= s and e <= b for a, b in spared)]
-    return float(sum(kept)), len(kept), len(folded.split())
+    if spared and best:
+        # By where they begin, with the furthest end so far: one step back finds what holds a hit.
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        best = {s: (w, e) for s, (w, e) in best.items() if not (i := bisect_right(begins, s)) or reach[i - 1] < e}
+    return float(sum(w for w, _ in best.values())), len(best), len(words)
 
 
 def _scorer(entries: list[tuple[str, float, str]], threshold: float, only_clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, table = automaton(entries), fold_table()
+        plain = {c: None for c, to in table.items() if to is None}
         for batch in batches:
             weights, counts, words = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                w, h, n = hits(text, found, table) if text else (0.0, 0, 0)
+                w, h, n = hits(text, found, table, plain) if text else (0.0, 0, 0)
                 weights.append(100 * w / max(n, LEAST_WORDS))
                 counts.append(h)
                 words.append(n)
@@ -138,12 +171,13 @@ def _scorer(entries: list[tuple[str, float, str]], threshold: float, only_clean:
 
 def score(df: DataFrame, entries: list[tuple[str, float, str]], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_hits, score, toxic) of every row."""
-    return need(df, "doc_id", "text").mapInArrow(_scorer(entries, threshold, False), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_hits long, score double, toxic boolean")
+    return need(df, "doc_id", "text").mapInArrow(_scorer(entries, threshold, False), f"doc_id {kind(df, 'doc_id')}, n_words long, n_hits long, score double, toxic boolean")
 
 
 def keep_clean(df: DataFrame, entries: list[tuple[str, float, str]], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df that aren't toxic, with all their columns."""
-    return df.mapInArrow(_scorer(entries, threshold, True), df.schema)
+    rows = renamed(df, "text")
+    return rows.mapInArrow(_scorer(entries, threshold, True), rows.schema).toDF(*df.columns)
 
 
 def _stems_in(words: set[str], shortest: int, longest: int) -> set[str]:
@@ -194,10 +228,10 @@ def learn_stems(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shor
     through, `at_once` of them in a pass; a further pass has only those that
     documents with none taken before still have.
 
-    Labels without doc_id or toxic, documents without text and labels without a
+    Of repeated labels the greatest counts. Labels without doc_id or toxic, documents without text and labels without a
     document are left out; without toxic labels no stem is learned. At most
     `max_rows` labels are used, chosen by a hash of doc_id."""
-    labels = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_id is not null and _toxic is not null").dropDuplicates(["_id"])
+    labels = renamed(labels, "doc_id", "toxic").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_id is not null and _toxic is not null").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     chosen = labels.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # At most max_rows rows of two numbers: safe to broadcast at any size of the input.
     sample = written(need(df, "doc_id", "text").filter("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic"), "toxicity-sample")
