@@ -21,6 +21,23 @@ def test_stitched_pieces_encode_as_the_whole():
             assert [t for p in pieces for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_very_long_runs():
+    enc = bpe.encoding(bpe.VOCABULARY)
+    encode = bpe.encoder_of(enc)
+    for n in (bpe.LONG_RUN - 1, bpe.LONG_RUN, bpe.LONG_RUN + 1, 20_000):
+        for text in ("a" + " " * n + "b", " " * n, "a\n" + " \t" * n + ".", " " * n + "\nx" + "\u3000" * n + "'ll", "x\x1c" + " " * n):
+            assert encode(text) == enc.encode_ordinary(text), (n, text[:3])
+    for text in (" " * 5_000_000 + "x", "ab " + "\n" * 3_000_000):
+        assert enc.decode(encode(text)) == text
+
+
+def test_white_space_is_that_of_the_pattern():
+    enc = bpe.encoding(bpe.VOCABULARY)
+    text = "!\x1c! a\x1d\x1eb  \x85c\xa0\xa0d\u180e e\u200b" * 40
+    for chunk, overlap in ((16, 8), (50, 20)):
+        assert [t for p in chunked(text, chunk, overlap) for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
 def test_long_texts_are_cut():
     assert len(chunked("word " * 5000, 1000, 100)) > 20
 

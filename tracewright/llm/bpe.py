@@ -7,25 +7,40 @@ chunk is also one of the chunk before it, the two agree from there on. The
 text is cut at such places, its pieces are encoded, and their ids follow one
 another. Decoding joins the tokens' raw bytes.
 
+A long run of white space is a pre-token by the pattern's own rule (all of it at
+the end of a text; else all but its last character), and is cut off before the
+pattern is run, whose look-ahead would go through it step by step.
+
 Edge cases: a null text has null ids and decodes to null; an empty text has no
-ids; a null doc_id and repeated rows pass through, each row by itself; other
-columns are ignored by encode(), and kept by encode_rows().
+ids; a null doc_id and repeated rows pass through, each row by itself; doc_id
+may be of any type; ties don't matter; an empty table gives no rows; other
+columns, whatever their names, are ignored by encode(), and kept by
+encode_rows(). A text without a place to cut is one piece, however long.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need
+from .common import need, renamed, without
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the tokenizer's pattern means it, which Python's differs from.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SAME = PATTERN.replace(r"[^\s\p", f"[^{SPACE}\\p").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+#: A run of white space from this length is taken out of the text.
+LONG_RUN = 4_096
+_RUN = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
 CHUNK, OVERLAP = 32_768, 1_024
 #: A match that ends so close to the end of a cut chunk may not be the real one.
 MARGIN = 8
@@ -52,7 +67,23 @@ def chunks_of(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tup
 def pre_token_ends(text: str, start: int = 0) -> list[int]:
     import regex
 
-    return [start + m.end() for m in regex.finditer(PATTERN, text)]
+    return [start + m.end() for m in regex.finditer(_SAME, text)]
+
+
+def encoder_of(enc):
+    """text to ids, as enc.encode_ordinary, whatever the length of its runs of white space."""
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return enc.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += enc.encode_ordinary(text[at : run.start()]) + enc._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + enc.encode_ordinary(text[at:])
+
+    return encode
 
 
 def cuts_of(chunks: list[tuple[int, str, list[int]]]) -> list[int]:
@@ -65,7 +96,7 @@ def cuts_of(chunks: list[tuple[int, str, list[int]]]) -> list[int]:
     for (a, left, ends), (b, _, right) in zip(chunks, chunks[1:], strict=False):
         right_ends, last = set(right), a + len(left) - MARGIN
         for p in ends:
-            if b < p <= last and p in right_ends and not left[p - a - 1].isspace():
+            if b < p <= last and p in right_ends and left[p - a - 1] not in SPACE:
                 cuts.append(p)
                 break
     return cuts
@@ -81,12 +112,18 @@ def pieces_of(chunks: list[tuple[int, str, list[int]]]) -> list[str]:
     return [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
 
 
-def _encoder(path: str, decoded: bool):
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary to every executor; gives the name that it has there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _encoder(name: str, decoded: bool):
     """Arrow in, Arrow out: `text` becomes token_ids (and decoded, if asked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
-        encode, decode = enc.encode_ordinary, enc.decode_bytes
+        enc = encoding(SparkFiles.get(name))
+        encode, decode = encoder_of(enc), enc.decode_bytes
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -128,21 +165,21 @@ def _stitch(t: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([t["key"][0].as_py()] * len(parts)), "piece": pa.array(range(len(parts)), pa.int64()), "text": pa.array(parts)})
 
 
-def encode_long(texts: DataFrame, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, text) of distinct keys to (key, token_ids), chunk by chunk."""
+def encode_long(texts: DataFrame, name: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, text) of distinct keys to (key, token_ids), chunk by chunk; name: of the vocabulary shipped."""
     spark = texts.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     chunks = texts.select("key", "text").mapInArrow(_chunker(chunk, overlap), "key string, start long, part string")
     ends = chunks.repartition(n, "key", "start").mapInArrow(_pre_tokenise, "key string, start long, part string, ends array<long>")
     pieces = ends.groupBy("key").applyInArrow(_stitch, "key string, piece long, text string")
-    ids = pieces.repartition(n, "key", "piece").mapInArrow(_encoder(vocabulary, False), "key string, piece long, token_ids array<int>")
+    ids = pieces.repartition(n, "key", "piece").mapInArrow(_encoder(name, False), "key string, piece long, token_ids array<int>")
     ordered = F.sort_array(F.collect_list(F.struct("piece", "token_ids")))
     return ids.groupBy("key").agg(F.flatten(F.transform(ordered, lambda x: x["token_ids"])).alias("token_ids"))
 
 
-def _decoder(path: str):
+def _decoder(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding(path).decode_bytes
+        decode = encoding(SparkFiles.get(name)).decode_bytes
         for batch in batches:
             i = batch.schema.get_field_index("token_ids")
             column = [None if x is None else decode(x).decode("utf-8", "replace") for x in batch.column(i).to_pylist()]
@@ -155,14 +192,16 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids) to (doc_id, token_ids, decoded): the joined raw bytes
     as UTF-8 (a bad byte becomes U+FFFD); null ids decode to null."""
     df = need(df, "doc_id", "token_ids")
-    return df.mapInArrow(_decoder(vocabulary), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(_decoder(shipped(df.sparkSession, vocabulary)), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def encode_rows(df: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """All columns of df but text, then token_ids, n_tokens and decoded (the
     text again, from the ids). Columns of df with one of these three names are
     replaced."""
-    df = df.drop("token_ids", "n_tokens", "decoded")
+    df = without(df, "token_ids", "n_tokens", "decoded")
+    names = [c for i, c in enumerate(df.columns) if i != df.columns.index("text")]
+    df, vocabulary = renamed(df, "text"), shipped(df.sparkSession, vocabulary)
     rest = [c for c in df.columns if c != "text"]
     fields = [df.schema[c] for c in rest]
     out = T.StructType([*fields, T.StructField("token_ids", IDS), T.StructField("decoded", T.StringType())])
@@ -174,7 +213,8 @@ def encode_rows(df: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK,
     ids = encode_long(distinct, vocabulary, chunk, overlap)
     both = long_rows.select(F.struct(*rest).alias("row"), key.alias("key")).join(ids, "key").select("row.*", "token_ids")
     long_out = both.mapInArrow(_decoder(vocabulary), out)
-    return short.unionByName(long_out).select(*rest, "token_ids", F.size("token_ids").alias("n_tokens"), "decoded").withColumn("n_tokens", F.when(F.col("token_ids").isNotNull(), F.col("n_tokens")))
+    found = short.unionByName(long_out).select(*rest, "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "decoded")
+    return found.toDF(*names, "token_ids", "n_tokens", "decoded")
 
 
 def encode(df: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
