@@ -16,9 +16,10 @@ def test_expressions():
     assert value("GPL-2.0-only WITH Classpath-exception-2.0") == 1
     assert value("MIT OR AGPL-3.0-only AND GPL-2.0-only") == 0
     assert value("(MIT OR AGPL-3.0-only) AND GPL-2.0-only") == 2
-    assert value("GPL-2.0+") == 2
+    assert value("GPL-2.0+") == 2 and value("LGPL-2.1") == 1 and value("Artistic-2.0") == 0 and value("MIT.") == 0
+    assert value("GPL-2.0-or-later WITH GCC-exception-3.1 AND MIT") == 1
     assert value("Unheard-Of") == lic.UNKNOWN
-    for bad in ("", "MIT OR", "(MIT", "MIT)", "MIT GPL-2.0", "OR MIT", "MIT WITH (A OR B)", "MIT ; x", "()", "(MIT OR ISC) WITH x"):
+    for bad in ("", "MIT OR", "(MIT", "MIT)", "MIT GPL-2.0", "OR MIT", "MIT WITH (A OR B)", "MIT ; x", "()", "(MIT OR ISC) WITH x", "GPL-3.0-only WITH MIT", "GPL-3.0-only WITH Unheard-Of"):
         assert value(bad) is None, bad
 
 
@@ -67,3 +68,22 @@ def test_wrapped_headers():
     # A tag still ends with its line.
     assert lic.scan_text("# SPDX-License-Identifier: MIT\n# OR GPL-3.0-only", found)[:2] == (["mit"], ["mit"])
     assert lic.scan_text("-" * 200_000 + " " * 200_000, found)[2] == 0
+
+
+def test_phrases_against_a_plain_search():
+    """Every phrase at every place, the longest from a place counting."""
+    r = random.Random(5)
+    found, phrases = lic.automaton(), {lic.on_one_line(p): x for p, x in lic.NOTICES.items()}
+    names = list(phrases)
+    for _ in range(200):
+        text = " ".join(r.choice([r.choice(names), r.choice(names)[:-3], "words", "\n * more"]) for _ in range(r.randint(0, 6)))
+        flat = lic.on_one_line(text)
+        at = {}
+        for p, x in phrases.items():
+            for i in range(len(flat)):
+                if flat.startswith(p, i) and len(p) > at.get(i, (0, ""))[0]:
+                    at[i] = (len(p), x)
+        want = sorted({x for _, x in at.values()})
+        licences, _, n, _, strictest = lic.scan_text(text, found)
+        assert (licences, n) == (want, len(at)) and strictest == max((lic.CLASS_OF[x] for x in want), default=None)
+    assert all(x in lic.CLASS_OF for x in phrases.values())

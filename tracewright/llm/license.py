@@ -4,7 +4,8 @@ Method: one Aho-Corasick automaton finds identifier tags
 (`SPDX-License-Identifier:`) and notice phrases; what follows a tag up to the
 end of its line is a licence expression, which a shunting-yard parser turns
 into postfix form and evaluates: OR takes the freer side, AND the stricter, and
-WITH an exception loosens its licence by a step. A document's own verdict is
+WITH a known exception loosens its licence by a step (with anything else it is
+broken). A phrase that begins a longer one at the same place gives way to it. A document's own verdict is
 the strictest of its findings, as every one of them binds. Phrases are matched
 over a copy in which each run of white space and comment marks is one space, so
 a notice may be wrapped over the lines of a comment; tags keep their lines.
@@ -14,8 +15,11 @@ Classes, from free to strict: 0 permissive, 1 weak copyleft, 2 strong copyleft,
 
 Edge cases: a null or empty text has no findings (empty lists, null class, kept
 as allowed); an expression that doesn't parse is class 4 and marked; rows with
-a null doc_id and repeated rows are scanned each by itself; other columns are
-ignored.
+a null doc_id and repeated rows are scanned each by itself; doc_id may be of any
+type; ties (several findings, or a notice given twice) all count, the licences
+are named once, in order; an empty table gives no rows; other columns, whatever
+their names, are ignored. The time for a text goes by its length, and a task
+holds a very long one three times.
 """
 
 from __future__ import annotations
@@ -26,29 +30,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import need
+from .common import kind, need
+from .spdx import CLASS_OF, EXCEPTIONS, NOTICES
 
 TAG = "spdx-license-identifier:"
-CLASS_OF = {
-    "mit": 0, "apache-2.0": 0, "bsd-2-clause": 0, "bsd-3-clause": 0, "isc": 0, "zlib": 0, "unlicense": 0, "cc0-1.0": 0, "cc-by-4.0": 0, "bsl-1.0": 0, "python-2.0": 0, "0bsd": 0,
-    "lgpl-2.1-only": 1, "lgpl-2.1-or-later": 1, "lgpl-3.0-only": 1, "lgpl-3.0-or-later": 1, "mpl-2.0": 1, "epl-2.0": 1, "cddl-1.0": 1, "cc-by-sa-4.0": 1,
-    "gpl-2.0-only": 2, "gpl-2.0-or-later": 2, "gpl-3.0-only": 2, "gpl-3.0-or-later": 2, "gpl-2.0": 2, "gpl-3.0": 2,
-    "agpl-3.0-only": 3, "agpl-3.0-or-later": 3, "agpl-3.0": 3, "cc-by-nc-4.0": 3, "cc-by-nc-sa-4.0": 3, "cc-by-nc-nd-4.0": 3, "sspl-1.0": 3,
-}
-#: Notice phrases, in lower case, and the licence each gives notice of.
-NOTICES = {
-    "released under the mit license": "mit", "licensed under the mit license": "mit", "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
-    "apache license, version 2.0": "apache-2.0", "apache license 2.0": "apache-2.0",
-    "redistribution and use in source and binary forms, with or without modification": "bsd-3-clause",
-    "gnu general public license, version 3": "gpl-3.0-only", "gnu general public license, version 2": "gpl-2.0-only", "gnu general public license version 3": "gpl-3.0-only", "gnu general public license version 2": "gpl-2.0-only",
-    "gnu general public license as published by the free software foundation, either version 3": "gpl-3.0-or-later", "gnu general public license as published by the free software foundation; either version 3": "gpl-3.0-or-later",
-    "gnu general public license as published by the free software foundation, either version 2": "gpl-2.0-or-later", "gnu general public license as published by the free software foundation; either version 2": "gpl-2.0-or-later",
-    "gnu general public license as published by the free software foundation, version 3": "gpl-3.0-only", "gnu general public license as published by the free software foundation; version 3": "gpl-3.0-only",
-    "gnu general public license as published by the free software foundation, version 2": "gpl-2.0-only", "gnu general public license as published by the free software foundation; version 2": "gpl-2.0-only",
-    "gnu lesser general public license": "lgpl-3.0-only", "gnu affero general public license": "agpl-3.0-only", "mozilla public license, v. 2.0": "mpl-2.0", "mozilla public license, version 2.0": "mpl-2.0", "eclipse public license": "epl-2.0",
-    "cc by-nc 4.0": "cc-by-nc-4.0", "cc by-nc-sa 4.0": "cc-by-nc-sa-4.0", "cc by-nc-nd 4.0": "cc-by-nc-nd-4.0", "cc by-sa 4.0": "cc-by-sa-4.0", "cc by 4.0": "cc-by-4.0", "cc0 1.0 universal": "cc0-1.0",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-}
 #: A document whose class is at most this may be used.
 MOST = 1
 UNKNOWN = 4
@@ -61,7 +46,7 @@ _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 def to_postfix(expression: str) -> list[str] | None:
     """Shunting-yard; None if the expression is broken. Case doesn't matter.
     After the first whole expression, comment ends (*/, -->) may follow."""
-    expression = re.sub(r"(\*/|-->|#|\").*$", "", expression.lower().strip())
+    expression = re.sub(r"(\*/|-->|#|\").*$", "", expression.lower().strip()).rstrip().rstrip(".,;")
     if re.sub(r"[\s()a-z0-9.+:-]", "", expression):
         return None
     out: list[str] = []
@@ -98,22 +83,25 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def class_of(licence: str) -> int:
-    if licence.endswith("+"):
-        licence = licence[:-1]
-    return CLASS_OF.get(licence, UNKNOWN)
+    return CLASS_OF.get(bare(licence), UNKNOWN)
+
+
+def bare(licence: str) -> str:
+    """Without the mark of later versions."""
+    return licence[:-1] if licence.endswith("+") else licence
 
 
 def evaluate(postfix: list[str]) -> tuple[int, set[str]] | None:
-    """(class, licences). None if WITH's right side isn't a lone exception or
+    """(class, licences). None if WITH's right side isn't a known exception or
     its left side a lone licence."""
     stack: list[tuple[int, set[str], str | None]] = []
     for token in postfix:
         if token not in _PRECEDENCE:
-            stack.append((class_of(token), {token.rstrip("+")}, token))
+            stack.append((class_of(token), {bare(token)}, token))
             continue
         (rc, rs, r), (lc, ls, left) = stack.pop(), stack.pop()
         if token == "with":
-            if r is None or left is None:
+            if r not in EXCEPTIONS or left is None:
                 return None
             stack.append((lc if lc in (0, UNKNOWN) else lc - 1, ls, None))
         else:
@@ -129,9 +117,10 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    found.add_word(TAG, "")
+    found.add_word(TAG, (len(TAG), ""))
     for phrase, licence in NOTICES.items():
-        found.add_word(on_one_line(phrase), licence)
+        key = on_one_line(phrase)
+        found.add_word(key, (len(key), licence))
     found.make_automaton()
     return found
 
@@ -139,30 +128,26 @@ def automaton():
 def scan_text(text: str, found) -> tuple[list[str], list[str], int, int, int | None]:
     """(licences, expressions, notices, broken expressions, class)."""
     folded = text.lower()
-    licences: set[str] = set()
     expressions: list[str] = []
-    notices = broken = 0
-    strictest: int | None = None
-    for _, licence in found.iter(on_one_line(folded)):
-        if licence:
-            notices += 1
-            licences.add(licence)
-            one = class_of(licence)
-            strictest = one if strictest is None else max(strictest, one)
-    for last, licence in found.iter(folded):
+    broken = 0
+    # The longest phrase from each place.
+    notices = {last + 1 - size: licence for last, (size, licence) in found.iter(on_one_line(folded)) if licence}
+    licences = {*notices.values()}
+    kinds = [class_of(x) for x in licences]
+    for last, (_, licence) in found.iter(folded):
         if not licence:
-            line = folded[last + 1 :].split("\n", 1)[0] if len(folded) < 1 << 16 else folded[last + 1 : end if (end := folded.find("\n", last + 1)) >= 0 else len(folded)]
+            end = folded.find("\n", last + 1)
+            line = folded[last + 1 : end if end >= 0 else len(folded)]
             expressions.append(line.strip())
             postfix = to_postfix(line)
             value = evaluate(postfix) if postfix else None
             if value is None:
                 broken += 1
-                one = UNKNOWN
+                kinds.append(UNKNOWN)
             else:
-                one = value[0]
+                kinds.append(value[0])
                 licences |= value[1]
-            strictest = one if strictest is None else max(strictest, one)
-    return sorted(licences), expressions, notices, broken, strictest
+    return sorted(licences), expressions, len(notices), broken, max(kinds, default=None)
 
 
 def _scanner(most: int):
@@ -183,4 +168,4 @@ def _scanner(most: int):
 def scan(df: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_id, licences, expressions, n_notices, n_broken, licence_class,
     allowed) of every row; allowed: without findings, or of a class up to `most`."""
-    return need(df, "doc_id", "text").mapInArrow(_scanner(most), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, licences array<string>, expressions array<string>, n_notices long, n_broken long, licence_class int, allowed boolean")
+    return need(df, "doc_id", "text").mapInArrow(_scanner(most), f"doc_id {kind(df, 'doc_id')}, licences array<string>, expressions array<string>, n_notices long, n_broken long, licence_class int, allowed boolean")
