@@ -35,6 +35,27 @@ def test_against_every_rule_on_every_url(spark, none):
     assert u.apply(df.limit(0)).count() == 0
 
 
+def test_rule_lists():
+    text = """[Adblock Plus 2.0]
+! a comment
+||ads.example.com^
+||ads.example.com^
+/banner/*.gif|
+example.com##.ad
+@@||good.example^
+||x.example^$third-party,script
+/ad[0-9]+x/
+/plain/
+"""
+    assert u.rules_of(text) == ("||ads.example.com^", "/banner/*.gif|", "@@||good.example^", "/plain/")
+
+
+def test_very_long_urls_and_odd_columns(spark):
+    long = "http://a.example.com/" + "en/" * 100_000 + "login?x"
+    df = spark.createDataFrame([("p1", long, 1, 2), ("p2", long + "=", 1, 2)], "page_id string, url string, `a.b` int, URL int")
+    assert {(r.page_id, r.rules, r.action) for r in u.apply(df).collect()} == {("p1", "/login^", "block"), ("p2", "/login^", "block")}
+
+
 def test_rarest_token_is_the_index():
     rules = [u.parse("/en/casino/"), u.parse("x")]
     assert u.index(rules, {"en": 50, "casino": 2}) == ({"casino": [0]}, [1])

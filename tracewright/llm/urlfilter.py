@@ -13,8 +13,13 @@ others block. URLs are compared in lower case. Rules without a token of their
 own are tried on every URL. At most `slice_rules` rules go to a task at once;
 more take further passes.
 
+The rules given here are an example; rules_of() reads a list in the usual format.
+
 Edge cases: a null or empty URL matches nothing (action none); a null page_id
-and repeated rows pass through, each by itself; other columns are ignored.
+and repeated rows pass through, each by itself; page_id may be of any type; of
+tokens that tie for the rarest the first counts, which changes no result; a very
+long URL is matched whole; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kind, need
+
 SLICE_RULES = 20_000
 RULES = (
     "||ads.", "||adserver.", "||ads-track.example.com^", "-track.example.", "/adclick^", "/banners/*.gif|", "||doubleclick.*^", "/track/pixel^", "?utm_source=spam^", "||spam-farm.example.org^",
@@ -68,6 +75,19 @@ def parse(pattern: str) -> Rule:
     return Rule(pattern, allow, regex + ("$" if ends else ""), tuple(dict.fromkeys(tokens)))
 
 
+def rules_of(text: str) -> tuple[str, ...]:
+    """The patterns of a rule list in the usual format: a line each; comments
+    (`!`, `[`), rules for page elements (`##`, `#@#`, `#?#`), regular expressions
+    (`/.../`) and rules that hold for some requests only (`$option`) are left
+    out, as a URL alone doesn't decide them; repeated ones count once."""
+    out = []
+    for line in map(str.strip, text.splitlines()):
+        if not line or line[0] in "![" or re.search(r"#[@?]?#", line) or re.search(r"\$[a-z~][a-z0-9~,=|._-]*$", line) or re.fullmatch(r"(@@)?/.*/", line) and re.search(r"[\\\[(+?{]", line):
+            continue
+        out.append(line)
+    return tuple(dict.fromkeys(out))
+
+
 def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
     """In how many of all rows' URLs each token of the rules occurs. urls: (u)."""
     wanted = sorted({t for r in rules for t in r.tokens})
@@ -112,10 +132,10 @@ def apply(df: DataFrame, patterns: tuple[str, ...] = RULES, slice_rules: int = S
     """(page_id, rules, n_rules, action) of every row; rules: the patterns that
     match, in order, joined by a space; action: block, allow or none."""
     rules = [parse(p) for p in dict.fromkeys(patterns)]
-    urls = df.select("page_id", F.lower("url").alias("u"))
+    urls = need(df, "page_id", "url").select("page_id", F.lower("url").alias("u"))
     counts = token_counts(urls.select("u").filter("u is not null"), rules)
     out = urls.select("page_id", "u", F.array().cast("array<string>").alias("found"), F.lit(0).cast("long").alias("tried"))
-    schema = f"page_id {df.schema['page_id'].dataType.simpleString()}, u string, found array<string>, tried long"
+    schema = f"page_id {kind(df, 'page_id')}, u string, found array<string>, tried long"
     for a in range(0, len(rules), slice_rules):
         own = rules[a : a + slice_rules]
         out = out.mapInArrow(_matcher(own, *index(own, counts)), schema)
