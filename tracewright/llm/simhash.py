@@ -45,7 +45,7 @@ from .textcodes import U8, Grams, mix
 
 BITS = 64
 #: Differing bits allowed on the probe word, and on both words.
-TAU, TAU_ALL = 8, 20
+TAU, TAU_ALL = 10, 20
 PARTITIONS = (2, 3, 4)
 #: Cost of verifying a candidate, in emitted probe rows.
 VERIFY = 0.25
