@@ -211,7 +211,8 @@ def _lowest(d: Column, t: int) -> Column:
 
 def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
     """(u, v), u < v: reps whose fingerprints are within both limits, each once.
-    distinct: (rep, a, b)."""
+    distinct: (rep, a, b). Probes carry the fingerprints only, a quarter less to
+    shuffle; the few pairs found get their reps at the end."""
     spark = distinct.sparkSession
     if not thresholds:
         return spark.createDataFrame([], f"u {kind(distinct, 'rep')}, v {kind(distinct, 'rep')}")
@@ -220,7 +221,7 @@ def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau
         rows = []
         for i, (bits, t) in enumerate(thresholds):
             own = F.explode(F.lit(np.array(flips(bits, radius_of(t)), dtype=np.int64)))
-            rows.append(distinct.select("rep", "a", "b", own.alias("f")).select(F.lit(i).alias("i"), F.col("a").bitwiseAND(F.lit(mask_of(bits))).bitwiseXOR(F.col("f")).alias("k"), *[F.col(c).alias(prefix + c) for c in ("rep", "a", "b")]))
+            rows.append(distinct.select("a", "b", own.alias("f")).select(F.lit(i).alias("i"), F.col("a").bitwiseAND(F.lit(mask_of(bits))).bitwiseXOR(F.col("f")).alias("k"), *[F.col(c).alias(prefix + c) for c in ("a", "b")]))
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
@@ -242,8 +243,13 @@ def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau
         here = F.when(F.bit_count(d) <= t, ok).otherwise(here if here is not None else F.lit(False))
     first = F.bit_count(diff)
     second = F.bit_count(F.col("lb").bitwiseXOR(F.col("rb")))
-    joined = left.withColumnRenamed("i", "li").withColumnRenamed("k", "lk").join(right, (F.col("li") == F.col("i")) & (F.col("lk") == F.col("k")) & (F.col("lrep") < F.col("rrep")) & (first <= tau) & (first + second <= tau_all))
-    return joined.filter(here).select(F.col("lrep").alias("u"), F.col("rrep").alias("v"))
+    joined = left.withColumnRenamed("i", "li").withColumnRenamed("k", "lk").join(right, (F.col("li") == F.col("i")) & (F.col("lk") == F.col("k")) & ((F.col("la") < F.col("ra")) | (F.col("la") == F.col("ra")) & (F.col("lb") <= F.col("rb"))) & (first <= tau) & (first + second <= tau_all))
+    found = joined.filter(here).select("la", "lb", "ra", "rb").distinct()
+    left_rep, right_rep = (distinct.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b"), F.col("rep").alias(f"{s}rep")) for s in "lr")
+    named = found.join(left_rep, ["la", "lb"]).join(right_rep, ["ra", "rb"]).filter("lrep <> rrep")
+    # Of equal fingerprints each pair comes in both orders.
+    same = (F.col("la") == F.col("ra")) & (F.col("lb") == F.col("rb"))
+    return named.filter(~same | (F.col("lrep") < F.col("rrep"))).select(F.least("lrep", "rrep").alias("u"), F.greatest("lrep", "rrep").alias("v"))
 
 
 def components(pairs: DataFrame, rounds: list[int] | None = None) -> DataFrame:
