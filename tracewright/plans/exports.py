@@ -111,7 +111,7 @@ def curated_windows(spark, d):
     return sequence.window_counts(_curated(spark, d)[2])
 
 
-@query(f"WITH {_BOTH} SELECT (SELECT count(*) FROM (SELECT DISTINCT episode_index FROM ts)) AS n_episodes, (SELECT count(DISTINCT episode_index) FROM ts WHERE acc) AS n_accepted, (SELECT count(*) FROM ts) AS n_frames, (SELECT count(*) FROM ts WHERE hard) AS n_hard_valid, (SELECT count(*) FROM ts WHERE hard AND NOT soft) AS n_strict, (SELECT count(*) FROM w WHERE policy = 'conservative') AS n_conservative_windows, (SELECT count(*) FROM w WHERE policy = 'strict') AS n_strict_windows, true AS strict_is_subset")
+@query(f"WITH {_BOTH} SELECT (SELECT count(*) FROM (SELECT DISTINCT episode_index FROM ts)) AS n_episodes, (SELECT count(DISTINCT episode_index) FROM ts WHERE acc) AS n_accepted, (SELECT count(*) FROM ts) AS n_frames, (SELECT count(*) FROM ts WHERE hard) AS n_hard_valid, (SELECT count(*) FROM ts WHERE hard AND NOT soft) AS n_strict, (SELECT count(*) FROM w WHERE policy = 'conservative') AS n_conservative_windows, (SELECT count(*) FROM w WHERE policy = 'strict') AS n_strict_windows, (SELECT count(*) = 0 FROM (SELECT episode_index, start_frame FROM w WHERE policy = 'strict' EXCEPT SELECT episode_index, start_frame FROM w WHERE policy = 'conservative')) AS strict_is_subset")
 def curation_summary(spark, d):
     episodes, timesteps, windows = _curated(spark, d)
     t = F.count(F.lit(1))
