@@ -73,6 +73,47 @@ def test_pairs_are_those_of_brute_force(spark):
     assert {tuple(p) for p in s.near_pairs(df, s.plan(df, 8), 8, 18).collect()} == want
 
 
+def test_large_group_of_different_copies(spark):
+    """A chain of crowds: the links are few, and all that hangs together in all pairs does so by them."""
+    r = random.Random(11)
+    rows = []
+    for c in range(3):
+        a, b = r.getrandbits(64), r.getrandbits(64)
+        for step in range(4):  # each crowd's centre is 8 bits from the one before
+            rows += [(a ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 3))), b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 2)))) for _ in range(150 if c else 600)]
+            a ^= sum(1 << (16 * step + x) for x in r.sample(range(16), 8))
+    rows += [(r.getrandbits(64), r.getrandbits(64)) for _ in range(400)]
+    rows = sorted(set(rows))
+    signed = [(i, a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b) for i, (a, b) in enumerate(rows)]
+    df = spark.createDataFrame(signed, "rep long, a long, b long").repartition(3)
+    a, b = (np.array([x[k] for x in rows], dtype=np.uint64) for k in (0, 1))
+    first = np.bitwise_count(a[:, None] ^ a)
+    u, v = np.nonzero(np.triu((first <= s.TAU) & (first + np.bitwise_count(b[:, None] ^ b) <= s.TAU_ALL), 1))
+    low, node = s.forest(u, v)
+    want = dict(zip(node.tolist(), low.tolist(), strict=True))
+    n, both = s.bit_stats(df)
+    for plan in (s.plan(df), s.plan(df, partitions=(3,)), list(zip(s.grouped(n, both, 4), (2, 2, 2, 1), strict=True))):
+        found = np.array([tuple(p) for p in s.near_pairs(df, plan, every=False).collect()])
+        assert len(u) > 1_000_000 > 100 * len(rows) > len(found)
+        low, node = s.forest(found[:, 0], found[:, 1])
+        assert dict(zip(node.tolist(), low.tolist(), strict=True)) == want
+
+
+def test_buckets_of_every_size():
+    """Of one bucket, and of many small ones, the pairs are those of brute force."""
+    r = np.random.default_rng(2)
+    for size, count in ((700, 2), (40, 30), (9, 100), (1, 50)):
+        k = np.repeat(r.permutation(count).astype(np.uint32), size)
+        base = r.integers(0, 1 << 63, (count * 3, 2), dtype=np.uint64)[r.integers(0, count * 3, len(k))]
+        a, b = (base ^ (np.uint64(1) << r.integers(0, 64, base.shape).astype(np.uint64))).T
+        inner = r.random(len(k)) < 0.5
+        x = np.bitwise_count(a[:, None] ^ a)
+        near = (k[:, None] == k) & (inner[:, None] | inner) & (x <= 10) & (x + np.bitwise_count(b[:, None] ^ b) <= 20)
+        want = set(zip(*(c.tolist() for c in np.nonzero(np.triu(near, 1))), strict=True))
+        i, j = s.bucket_links(k, inner, a, b, 10, 20, True)
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(i) == len(want)
+
+
 def test_groups_against_union_find(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")

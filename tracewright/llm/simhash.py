@@ -6,10 +6,14 @@ corpus are grouped into m partitions; a threshold vector (t_1 .. t_m) with
 sum(t_i + 1) = tau + 1 is chosen by dynamic programming, so that any two probe
 words within tau bits are within t_i on some partition i; unequal thresholds
 (-1: the partition isn't probed) go where the estimated number of candidates
-and probes is least. m is the cheapest of a few. For t_i both sides emit balls
-around their bits, of radii ceil(t_i / 2) and floor(t_i / 2), which meet exactly
-for pairs within t_i; each pair is verified, at one meeting point only, to be
-within tau on the probe word and within tau_all on all 128 bits.
+and probes is least. m is the cheapest of a few. For t_i each fingerprint emits a
+ball around its bits, of radius ceil(t_i / 2), marked up to floor(t_i / 2); balls of
+two within t_i meet at a place that is marked for one of them. All that meet so
+are compared, in numpy, and are near if within tau on the probe word and within
+tau_all on all 128 bits. No bucket is capped. As groups are all that is asked
+for, a place with many near ones is followed until its group is whole, and its
+members aren't compared with one another: a group of different near copies
+costs its size times the rest of the bucket, not the square of its size.
 
 Features are the distinct words, weighted by their length in bytes, so that
 short words, which most texts share, say little. A run of more than 12 bytes
@@ -37,7 +41,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, kind, need, renamed, written
@@ -46,9 +50,14 @@ from .textcodes import U8, Grams, mix
 BITS = 64
 #: Differing bits allowed on the probe word, and on both words.
 TAU, TAU_ALL = 10, 20
-PARTITIONS = (2, 3, 4)
-#: Cost of verifying a candidate, in emitted probe rows.
-VERIFY = 0.25
+PARTITIONS = (2, 3, 4, 5, 6)
+#: Cost of verifying a candidate, in emitted probes.
+VERIFY = 0.01
+#: Probes in a part, as a rule; probes made, and pairs compared, in one array.
+PART_ROWS, PROBES_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 500_000, 1 << 16
+#: Buckets of fewer than twice SMALL probes are compared together; in those of LARGE
+#: and more, PIVOTS places are tried for a group of MANY.
+SMALL, LARGE, PIVOTS, MANY = 16, 512, 16, 64
 
 
 def bit_counts(keys: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -185,7 +194,7 @@ def plan(distinct: DataFrame, tau: int = TAU, partitions: tuple[int, ...] = PART
             at += 1
             # What agrees on all bits agrees within any radius: the excess over independence is added once.
             excess = (scale - 1) * pairs * model[0]
-            cost.append([0.0] + [n * (ball(len(bits), -(-t // 2)) + ball(len(bits), t // 2)) + verify * (pairs * model[t] + excess) * ball(t, t // 2) for t in range(min(tau, len(bits) - 1) + 1)])
+            cost.append([0.0] + [n * ball(len(bits), -(-t // 2)) + verify * (pairs * model[t] + excess) * ball(t, t // 2) for t in range(min(tau, len(bits) - 1) + 1)])
         total, ts = allocate(cost, tau)
         options.append((total, [(b, t) for b, t in zip(groups, ts, strict=True) if t >= 0]))
     return min(options, key=lambda x: x[0])[1]
@@ -200,51 +209,170 @@ def flips(bits: list[int], radius: int) -> list[int]:
     return [mask_of(c) for r in range(radius + 1) for c in combinations(bits, r)]
 
 
-def _lowest(d: Column, t: int) -> Column:
-    """The t lowest set bits of d."""
-    rest = d
-    for _ in range(t):
-        # Only the sign bit is left where the subtraction overflows: nothing remains.
-        rest = F.coalesce(rest.bitwiseAND(F.try_subtract(rest, F.lit(1).cast("long"))), F.lit(0).cast("long"))
-    return d.bitwiseXOR(rest)
+def _places(a: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The bits of a partition as one number of up to 32 bits."""
+    out = np.zeros(len(a), np.uint32)
+    for i, x in enumerate(bits):
+        out |= ((a >> U8(x)) & U8(1)).astype(np.uint32) << np.uint32(i)
+    return out
 
 
-def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
-    """(u, v), u < v: reps whose fingerprints are within both limits, each once.
-    distinct: (rep, a, b). Probes carry the fingerprints only, a quarter less to
-    shuffle; the few pairs found get their reps at the end."""
+#: A probe: its place in the partition, and the fingerprint.
+PROBE = np.dtype([("k", "<u4"), ("a", "<u8"), ("b", "<u8")])
+
+
+def _probes(thresholds: list[tuple[list[int], int]], parts: list[int]):
+    """(a, b) to (part, inner, data): the places of the outer ball around each
+    fingerprint, as arrays by part; inner: those of the smaller radius."""
+    balls = [_places(np.array(flips(bits, -(-t // 2)), dtype=np.int64).view(U8), bits) for bits, t in thresholds]
+    inner = [ball(len(bits), t // 2) for bits, t in thresholds]
+    first = np.cumsum([0, *parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (c.to_numpy(zero_copy_only=False).view(U8) for c in batch.columns)
+            for i, (bits, _) in enumerate(thresholds):
+                own = _places(a, bits)
+                for near, flip in ((True, balls[i][: inner[i]]), (False, balls[i][inner[i] :])):
+                    step = max(1, PROBES_AT_ONCE // max(1, len(flip)))
+                    for lo in range(0, len(a) if len(flip) else 0, step):
+                        k = (own[lo : lo + step, None] ^ flip).ravel()
+                        part = ((k * np.uint32(2_654_435_761)) >> np.uint32(12)) % np.uint32(parts[i])
+                        order = np.argsort(part.astype(np.uint16) if parts[i] < 1 << 16 else part, kind="stable")
+                        row = order // len(flip) + lo
+                        data = np.empty(len(k), PROBE)
+                        data["k"], data["a"], data["b"] = k[order], a[row], b[row]
+                        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts[i]))])
+                        blobs = pa.Array.from_buffers(pa.binary(), parts[i], [None, pa.py_buffer((ends * PROBE.itemsize).astype(np.int32)), pa.py_buffer(data)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts[i], dtype=np.int32) + np.int32(first[i])), pa.array(np.full(parts[i], near)), blobs], names=["part", "inner", "data"]).filter(pa.array(np.diff(ends) > 0))
+
+    return run
+
+
+def close(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray, tau: int, tau_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), places in rows and in columns, of all that are within both limits."""
+    i, j = np.nonzero(np.bitwise_count(a[rows][:, None] ^ a[columns]) <= tau)
+    x, y = rows[i], columns[j]
+    # The sum of two counts of up to 64 fits a byte.
+    ok = np.bitwise_count(a[x] ^ a[y]) + np.bitwise_count(b[x] ^ b[y]) <= tau_all
+    return i[ok], j[ok]
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the least node that it hangs together with."""
+    nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = flat[: len(i)], flat[len(i) :]
+    root = np.arange(len(nodes))
+    while (u := root[x] != root[y]).any():
+        low, high = np.minimum(root[x[u]], root[y[u]]), np.maximum(root[x[u]], root[y[u]])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[root[moved]], nodes[moved]
+
+
+def whole_groups(a: np.ndarray, b: np.ndarray, tau: int, tau_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(those left, u, v) of a large bucket: of some of its places, those with
+    many near ones, the group is followed to its end, each member being compared
+    with all that aren't in it. Nothing left is near a member then."""
+    left, us, vs = np.arange(len(a)), [], []
+    for pivot in np.linspace(0, len(a) - 1, PIVOTS).astype(int):
+        if left[min(np.searchsorted(left, pivot), len(left) - 1)] != pivot:
+            continue
+        near = left[close(a, b, np.array([pivot]), left, tau, tau_all)[1]]
+        if len(near) < MANY:
+            continue
+        group, front = [near], [near]
+        left = np.setdiff1d(left, near, assume_unique=True)
+        while front and len(left):
+            own, front = np.concatenate(front), []
+            step = max(1, PAIRS_AT_ONCE // len(left))
+            for lo in range(0, len(own), step):
+                new = left[np.unique(close(a, b, own[lo : lo + step], left, tau, tau_all)[1])]
+                if len(new):
+                    group.append(new), front.append(new)
+                    left = np.setdiff1d(left, new, assume_unique=True)
+        group = np.concatenate(group)
+        root = group[np.lexsort((b[group], a[group]))[0]]
+        us.append(np.full(len(group) - 1, root)), vs.append(group[group != root])
+        if not len(left):
+            break
+    none = np.zeros(0, np.int64)
+    return left, np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def bucket_links(k: np.ndarray, inner: np.ndarray, a: np.ndarray, b: np.ndarray, tau: int, tau_all: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all near probes that share a place, at least one being inner; not
+    every: only so many that the same probes hang together."""
+    order = np.lexsort((~inner, k))
+    k, inner = k[order], inner[order]
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(k)))
+    some = np.add.reduceat(inner, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = 2
+    while at <= SMALL:  # buckets of at to 2 at - 1 probes together, each probe with the n-th after it
+        of = (sizes >= at) & (sizes < 2 * at) & (some > 0)
+        rows = np.flatnonzero(np.repeat(of, sizes))
+        for n in range(1, 2 * at - 1 if len(rows) else 0):
+            x, y = rows[:-n], rows[n:]
+            ok = np.flatnonzero((k[x] == k[y]) & inner[x] & (np.bitwise_count(a[x] ^ a[y]) <= tau))
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(a[x] ^ a[y]) + np.bitwise_count(b[x] ^ b[y]) <= tau_all
+            us.append(x[ok]), vs.append(y[ok])
+        at *= 2
+    for s, q, n in zip(*(c[(sizes >= at) & (some > 0)].tolist() for c in (starts, sizes, some)), strict=True):
+        oa, ob, left, mine = a[s : s + q], b[s : s + q], None, ([], [])
+        if not every and q >= LARGE:
+            left, u, v = whole_groups(oa, ob, tau, tau_all)
+            us.append(u + s), vs.append(v + s)
+            oa, ob, n = oa[left], ob[left], int((left < n).sum())
+        step = max(1, PAIRS_AT_ONCE // q)
+        for lo in range(0, n, step):
+            i, j = close(oa, ob, np.arange(lo, min(lo + step, n)), np.arange(lo, len(oa)), tau, tau_all)
+            ok = i < j
+            mine[0].append(i[ok] + lo), mine[1].append(j[ok] + lo)
+        if not mine[0]:
+            continue
+        i, j = map(np.concatenate, mine)
+        if not every and len(i) > q:
+            i, j = forest(i, j)
+        if left is not None:
+            i, j = left[i], left[j]
+        us.append(i + s), vs.append(j + s)
+    return order[np.concatenate(us)], order[np.concatenate(vs)]
+
+
+def _meeting(tau: int, tau_all: int, every: bool):
+    def run(t: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_buffer(), PROBE) for x in t["data"]]
+        inner = np.repeat(t["inner"].to_numpy(), [len(x) for x in blobs])
+        data = np.concatenate(blobs)
+        k, a, b = (np.ascontiguousarray(data[c]) for c in "kab")
+        i, j = bucket_links(k, inner, a, b, tau, tau_all, every)
+        first = (a[i] < a[j]) | (a[i] == a[j]) & (b[i] <= b[j])
+        i, j = np.where(first, i, j), np.where(first, j, i)
+        found = np.unique(np.stack([a[i], b[i], a[j], b[j]], axis=1), axis=0).view(np.int64)
+        return pa.table([pa.array(c) for c in found.T], names=["la", "lb", "ra", "rb"])
+
+    return run
+
+
+def near_pairs(distinct: DataFrame, thresholds: list[tuple[list[int], int]], tau: int = TAU, tau_all: int = TAU_ALL, every: bool = True) -> DataFrame:
+    """(u, v), u < v: reps whose fingerprints are within both limits, each once;
+    not every: of them (and of reps that hang together through them) so many that
+    the same reps hang together. distinct: (rep, a, b). Probes travel as arrays by part,
+    parts being ranges of places by hash, and are compared in numpy."""
     spark = distinct.sparkSession
     if not thresholds:
         return spark.createDataFrame([], f"u {kind(distinct, 'rep')}, v {kind(distinct, 'rep')}")
-
-    def side(prefix: str, radius_of) -> DataFrame:
-        rows = []
-        for i, (bits, t) in enumerate(thresholds):
-            own = F.explode(F.lit(np.array(flips(bits, radius_of(t)), dtype=np.int64)))
-            rows.append(distinct.select("a", "b", own.alias("f")).select(F.lit(i).alias("i"), F.col("a").bitwiseAND(F.lit(mask_of(bits))).bitwiseXOR(F.col("f")).alias("k"), *[F.col(c).alias(prefix + c) for c in ("a", "b")]))
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out
-
-    left, right = side("l", lambda t: -(-t // 2)), side("r", lambda t: t // 2)
-    diff = F.col("la").bitwiseXOR(F.col("ra"))
-    # One meeting point a pair: the first partition within its threshold, and
-    # there the left side flips the lowest bits that the right side's radius leaves.
-    here = None
-    for i, (bits, t) in reversed(list(enumerate(thresholds))):
-        d = diff.bitwiseAND(F.lit(mask_of(bits)))
-        r = t // 2
-        extra = F.bit_count(d) - r
-        spot = F.when(extra <= 0, F.lit(0).cast("long"))
-        for x in range(1, t - r + 1):
-            spot = spot.when(extra == x, _lowest(d, x))
-        ok = (F.col("i") == i) & (F.col("k") == F.col("la").bitwiseAND(F.lit(mask_of(bits))).bitwiseXOR(spot))
-        here = F.when(F.bit_count(d) <= t, ok).otherwise(here if here is not None else F.lit(False))
-    first = F.bit_count(diff)
-    second = F.bit_count(F.col("lb").bitwiseXOR(F.col("rb")))
-    joined = left.withColumnRenamed("i", "li").withColumnRenamed("k", "lk").join(right, (F.col("li") == F.col("i")) & (F.col("lk") == F.col("k")) & ((F.col("la") < F.col("ra")) | (F.col("la") == F.col("ra")) & (F.col("lb") <= F.col("rb"))) & (first <= tau) & (first + second <= tau_all))
-    found = joined.filter(here).select("la", "lb", "ra", "rb").distinct()
+    n, least = distinct.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [n * ball(len(bits), -(-t // 2)) for bits, t in thresholds]
+    parts = [max(1, -(-x // PART_ROWS), round(least * x / max(1, sum(sizes)))) for x in sizes]
+    probes = distinct.select("a", "b").mapInArrow(_probes(thresholds, parts), "part int, inner boolean, data binary")
+    found = probes.groupBy("part").applyInArrow(_meeting(tau, tau_all, every), "la long, lb long, ra long, rb long").distinct()
     left_rep, right_rep = (distinct.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b"), F.col("rep").alias(f"{s}rep")) for s in "lr")
     named = found.join(left_rep, ["la", "lb"]).join(right_rep, ["ra", "rb"]).filter("lrep <> rrep")
     # Of equal fingerprints each pair comes in both orders.
@@ -292,7 +420,7 @@ def groups(df: DataFrame, tau: int = TAU, tau_all: int = TAU_ALL) -> DataFrame:
     prints = written(fingerprints(df), "simhash-prints")
     by = Window.partitionBy("a", "b")
     distinct = written(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep")).select("rep", "a", "b"), "simhash-distinct")
-    found = written(near_pairs(distinct, plan(distinct, tau), tau, tau_all), "simhash-pairs")
+    found = written(near_pairs(distinct, plan(distinct, tau), tau, tau_all, every=False), "simhash-pairs")
     copies = prints.select("doc_id", F.min("doc_id").over(by).alias("rep"))
     # A rep with several fingerprints (rows that share a doc_id) joins them all.
     links = written(copies.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).unionByName(found.filter("u <> v")).distinct(), "simhash-links")
