@@ -11,14 +11,68 @@ def brute(rows, cosine=e.COSINE):
     return {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i, j, strict=True) if ids[a] != ids[b]}
 
 
-def test_count_is_calibrated():
-    p = e.collision()
-    count = e.least_count(e.LINES, p, e.RECALL)
-    r = np.random.default_rng(3)
-    d = r.standard_normal((20_000, e.LINES)) / e.WIDTH  # differences of pairs at the limit, in windows
-    hit = np.abs(d) <= 1
-    assert (hit[:, 0] & (hit.sum(axis=1) >= count)).mean() >= e.RECALL - 0.01
-    assert e.least_count(5, 0.1, 0.99) == 1
+def brute_classes(rows, cosine=e.COSINE):
+    """{id: (class, its size, links)} of vectors that have a direction."""
+    links = brute(rows, cosine)
+    near = {i: set() for i, _ in rows}
+    for a, b in links:
+        near[a].add(b), near[b].add(a)
+    out = {}
+    for i in sorted(near):
+        if i not in out:
+            group, front = {i}, [i]
+            while front:
+                new = near[front.pop()] - group
+                group |= new
+                front += new
+            out |= {k: (i, len(group), len(near[k])) for k in group}
+    return out
+
+
+def classes(df, **how):
+    found = e.classes(df, **how).collect()
+    assert len(found) == len({r.vec_id for r in found})
+    return {r.vec_id: (r.class_id, r.class_size, r.links) for r in found}
+
+
+def test_a_row_for_each_id(spark):
+    """A crowd of different near vectors, copies, chains and single vectors, at dimensions 3 and 40: all links, by their number."""
+    r = np.random.default_rng(9)
+    rows, want = [], {}
+    for dim, crowd in ((40, 500), (3, 30)):
+        base = r.standard_normal((6, dim))
+        own = [base[0] + r.standard_normal(dim) * 0.15 for _ in range(crowd)] + [base[1]] * 7 + [base[1] + r.standard_normal(dim) * 0.01] * 3
+        own += [base[2] + (base[3] - base[2]) * k / 12 for k in range(13)] + list(r.standard_normal((200 if dim > 3 else 0, dim)))
+        own = [(1_000 * dim + int(i), v.astype(np.float32)) for i, v in zip(r.permutation(len(own)), own, strict=True)]
+        rows += own
+        want |= brute_classes(own)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>").repartition(4)
+    assert max(n for _, _, n in want.values()) > 200
+    assert classes(df) == classes(df, block_rows=90) == want
+
+
+def test_limit_is_exact(spark):
+    """Pairs so near the limit that single precision can't tell."""
+    rows = []
+    for k in range(200):
+        t = np.arccos(e.COSINE) + (k - 100) * 1e-9
+        at = np.zeros((2, 8))
+        at[0, :2], at[1, :2] = (1, 0), (np.cos(t), np.sin(t))
+        turn = np.linalg.qr(np.random.default_rng(k).standard_normal((8, 8)))[0]
+        rows += [(2 * k, (at[0] @ turn).tolist()), (2 * k + 1, (at[1] @ turn).tolist())]
+    found = {(p.vec_a, p.vec_b) for p in e.pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for k in range(200):
+        if k != 100:
+            assert ((2 * k, 2 * k + 1) in found) == (k < 100), k
+
+
+def test_classes_of_odd_vectors(spark):
+    v, x = [1.0, 2.0, 3.0], [9.0, 0.0, 0.0]
+    rows = [("b", v), ("c", v), ("c", v), ("d", [2.0, 4.0, 6.0]), ("d", x), ("d", [9.0, 0.01, 0.0]), ("a", x), ("e", None), ("f", []), ("g", [0.0, 0.0, 0.0]), ("g2", [0.0, 0.0, 0.0]), ("h", [float("nan"), 1.0, 1.0]), ("i", [None, 1.0, 1.0]), (None, v), ("j", [1.0, 2.0]), ("k", [1.0, 2.001]), ("l", [float("inf"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").selectExpr("*", "'x' as key", "1 as e", "2 as block", "3 as `a.b`")
+    want = {"a": ("a", 4, 1), "b": ("a", 4, 2), "c": ("a", 4, 2), "d": ("a", 4, 3), "j": ("j", 2, 1), "k": ("j", 2, 1)} | {i: (i, 1, 0) for i in ("e", "f", "g", "g2", "h", "i", "l")}
+    assert classes(df) == want
+    assert classes(df.limit(0)) == {}
 
 
 def test_recall_and_precision(spark):

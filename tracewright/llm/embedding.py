@@ -1,213 +1,128 @@
 """Embedding near-duplicates (operator 7).
 
-Method: collision counting. Vectors are scaled to unit length and projected on
-m random lines of equal length, orthogonal as far as there are dimensions.
-Around a query, a window of half-width w on a line holds the vectors that
-collide with it there. For two vectors at distance r the difference on a line
-has deviation r, so the share p of windows that collide is known if it is normal;
-pairs that collide on `count` lines or more are verified by their exact cosine,
-`count` being the most that keeps the expected recall at the limit's distance
-(nearer pairs have more). Differences of real vectors may favour some lines: a
-sample of vectors is compared with all of the table, and the differences to
-their nearest neighbours, scaled to the limit's distance, lower the count, or
-widen the windows, until they keep the recall as well.
-
-The first line, chosen before the data are seen, is sorted and cut into blocks
-of about `block_rows`; a pair of blocks is worked on if their windows meet, in numpy,
-with collisions counted on a few lines for all pairs and on the rest for those
-that can still reach the count. A pair that doesn't collide on the sorted line
-isn't seen; the calibration counts that in. Every vector is a query, and
-nothing is capped.
-
-Equal vectors are searched for as one; each pair found then stands for all
-pairs of the two groups' ids, and all pairs within a group of equal vectors are
-added. The ids of a group are dealt into slices of about `SLICE`, by their hash,
-and a task's share of the pairs is pairs of slices, so a large group is gathered
-and written out by many tasks and is never one row.
+Method: every vector is compared with every other, as products of blocks of unit
+vectors: first with 24 bits, and in double precision where those can't tell on
+which side of the limit a pair is. So all pairs are found, nothing is calibrated,
+capped or drawn. Counting collisions on random lines, as the method was, costs more
+(see the README) and misses pairs. A task has two blocks of up to `block_rows` vectors.
+
+classes() gives a row for each vec_id: its class, which is what hangs together by
+links, and the number of its links. Of a pair of blocks come the sums of links
+and only so many links that the same vectors hang together, so the result and
+what is moved for it grow with the table, not with the pairs of a class.
+
+Equal vectors are compared as one, which counts as many times as it has ids. pairs()
+writes out all pairs instead; the ids of a group of equal vectors are dealt into
+slices of about `SLICE`, by their hash, and a task's share is pairs of slices,
+so a large group is gathered and written out by many tasks and is never one row.
 
 Edge cases: null, empty and zero vectors, and those with a null or non-finite
-element, and rows without vec_id are in no pair; rows that share a vec_id are
-never paired with each other; vec_id may be of any type with an order; vectors
+element, have no links and are a class of their own; rows without vec_id are left
+out; rows that share a vec_id are one item, linked with all that one of its vectors
+is near, never with itself; vec_id may be of any type with an order; vectors
 of different lengths are compared only within their length; ties in distance
-don't matter; an empty table has no pairs; other columns, whatever their names,
+don't matter; an empty table has no rows; other columns, whatever their names,
 are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, written
+from .common import kind, need, written
+from .simhash import components, forest
 
 COSINE = 0.95
-LINES, RECALL = 24, 0.96
-#: Half-width of a window, in distances at the limit.
-WIDTH = 2.326
-BLOCK_ROWS = 2_048
-SEED = 20_240_501
-DENSE = 8
-#: Vectors whose nearest neighbours calibrate count and windows: a bounded sample.
-SAMPLE = 1_000
-#: The sorted line.
-FIRST = 0
+#: Vectors in a block, and bytes of a block in double precision, at most.
+BLOCK_ROWS, BLOCK_BYTES = 131_072, 64 << 20
+#: Vectors whose products are taken at once, of the two blocks.
+TILE = 512, 4_096
 #: Ids of equal vectors in a row; two rows make up to SLICE ** 2 pairs.
 SLICE = 256
 
 
-def lines(dim: int, m: int = LINES, seed: int = SEED) -> np.ndarray:
-    """Columns of length sqrt(dim), in bases of up to dim orthogonal ones."""
-    r = np.random.default_rng([seed, dim])
-    bases = [np.linalg.qr(r.standard_normal((dim, min(dim, m))))[0] for _ in range(-(-m // dim))]
-    return np.concatenate(bases, axis=1)[:, :m] * sqrt(dim)
-
-
-def collision(width: float = WIDTH) -> float:
-    return erf(width / sqrt(2))
-
-
-def least_count(m: int, p: float, recall: float) -> int:
-    """The most collisions (the sorted line's among them) that a pair at the
-    limit still reaches with probability `recall`; 1 if none does."""
-    for count in range(m, 0, -1):
-        if p * sum(comb(m - 1, k) * p**k * (1 - p) ** (m - 1 - k) for k in range(count - 1, m)) >= recall:
-            return count
-    return 1
-
-
-def calibrated(d: np.ndarray, w: float, count: int, recall: float, first: int = FIRST) -> tuple[float, int]:
-    """(half-width, count) at which differences at the limit, a row of d each by
-    its lines, keep the recall too; never stricter than those given."""
-    for wide in (1.0, 1.25, 1.5, 2.0, 3.0, 4.0):
-        hit = np.abs(d) <= w * wide
-        total = hit.sum(axis=1)
-        for n in range(count, 0, -1):
-            if not len(d) or (hit[:, first] & (total >= n)).mean() >= recall:
-                if n >= count // 2:
-                    return w * wide, n
-                break
-    return w * sqrt(d.shape[1]) * wide, 1
-
-
-def _nearest(keys: np.ndarray, x: np.ndarray, p: np.ndarray):
-    """Of each vector of the sample the nearest one among those of a partition, as
-    (q, cosine, difference by lines)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, diff = np.full(len(keys), -np.inf), np.zeros_like(p)
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            bx, bp = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) for c in batch.columns[1:])
-            for lo in range(0, len(own), 2_048):
-                c = x @ bx[lo : lo + 2_048].T
-                c[keys[:, None] == own[lo : lo + 2_048]] = -np.inf
-                j = c.argmax(axis=1)
-                c = c[np.arange(len(keys)), j]
-                ok = c > best
-                best[ok], diff[ok] = c[ok], p[ok] - bp[lo + j[ok]]
-        ok = np.flatnonzero(best > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ok, pa.int64()), pa.array(best[ok]), pa.array(diff[ok].tolist(), pa.list_(pa.float64()))], names=["q", "c", "d"])
+def near(a: np.ndarray, b: np.ndarray, cosine: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(i, j, cosine) of the unit vectors whose cosine is at least the limit, by
+    tiles; the cosine is None if not exact."""
+    fa, fb = a.astype(np.float32), b.astype(np.float32)
+    # Bounds the error of a product of unit vectors, rounded and added up in single precision.
+    slack = (a.shape[1] + 8) * 2.0**-23
+    for lo in range(0, len(a), TILE[0]):
+        for at in range(0, len(b), TILE[1]):
+            c = fa[lo : lo + TILE[0]] @ fb[at : at + TILE[1]].T
+            flat = np.flatnonzero(c >= np.float32(cosine - slack))
+            if not len(flat):
+                continue
+            i, j = np.divmod(flat, c.shape[1])
+            c = c.ravel()[flat].astype(np.float64)
+            i, j = i + lo, j + at
+            open_ = np.arange(len(c)) if exact else np.flatnonzero(c < cosine + slack)
+            for s in range(0, len(open_), 100_000):
+                o = open_[s : s + 100_000]
+                c[o] = np.einsum("ij,ij->i", a[i[o]], b[j[o]])
+            ok = c >= cosine
+            yield i[ok], j[ok], c[ok] if exact else None
+
+
+def _blocks(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """(keys, unit vectors, rows) of each block in t, one or two."""
+    out = []
+    for block in np.unique(t["block"].to_numpy()).tolist():
+        own = t.filter(pa.array(t["block"].to_numpy() == block))
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in own["e"].chunks]).astype(np.float64).reshape(own.num_rows, -1)
+        out.append((own["key"].to_numpy(), x / np.sqrt((x * x).sum(axis=1, keepdims=True)), own))
+    return out
+
+
+def _sides(t: pa.Table, cosine: float, exact: bool):
+    """The near vectors in a pair of blocks, each pair once: (blocks, iterator of (i, j, cosine))."""
+    lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+    blocks = _blocks(t)
+    if lo == hi:
+        return blocks * 2, ((i[i < j], j[i < j], c[i < j] if exact else None) for i, j, c in near(blocks[0][1], blocks[0][1], cosine, exact))
+    return blocks, near(blocks[0][1], blocks[1][1], cosine, exact) if len(blocks) > 1 else iter(())
+
+
+def _all_pairs(cosine: float):
+    def run(t: pa.Table) -> pa.Table:
+        blocks, found = _sides(t, cosine, True)
+        parts = [pa.table({"key_a": blocks[0][0][i], "key_b": blocks[1][0][j], "cosine": np.round(c, 6)}) for i, j, c in found]
+        return pa.concat_tables([pa.table({"key_a": pa.array([], pa.int64()), "key_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())}), *parts])
 
     return run
 
 
-def differences(here: DataFrame, cosine: float, sample: int = SAMPLE) -> np.ndarray:
-    """By lines, the differences of a sample's nearest neighbours in one table of
-    unit vectors, scaled to the distance of the limit. here: (key, x, p)."""
-    rows = here.orderBy(F.xxhash64("key"), "key").limit(sample).select("key", "x", "p").collect()  # a bounded sample
-    keys, x, p = np.array([r["key"] for r in rows]), np.array([r["x"] for r in rows]), np.array([r["p"] for r in rows], dtype=np.float64)
-    best = here.select("key", "x", "p").mapInArrow(_nearest(keys, x, p), "q long, c double, d array<double>").groupBy("q").agg(F.max(F.struct("c", "d")).alias("best"))
-    # Below, differences are lost in the projections' own precision.
-    found = [(r["best"]["c"], r["best"]["d"]) for r in best.collect() if r["best"]["c"] < 1 - 1e-6]
-    return np.array([d for _, d in found]).reshape(-1, p.shape[1]) * np.sqrt((1 - cosine) / (1 - np.array([c for c, _ in found]).reshape(-1, 1)))
-
-
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, e) to (key, dim, x, p): the vectors that have a direction, at unit length."""
-    for batch in batches:
-        e = batch.column(1)
-        size = e.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        start = np.append(0, np.cumsum(size))[:-1]
-        values = e.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        for dim in np.unique(size[size > 0]).tolist():
-            rows = np.flatnonzero(size == dim)
-            x = values[start[rows][:, None] + np.arange(dim)]
-            norm = np.sqrt((x * x).sum(axis=1))
-            ok = np.isfinite(norm) & (norm > 0)
-            rows, x = rows[ok], x[ok] / norm[ok, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)), _lists(x), _lists((x @ lines(dim)).astype(np.float32))], names=["key", "dim", "x", "p"])
-
-
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
-
-
-def _numbered(marks: np.ndarray):
-    """Adds the block of each vector by its place on the sorted line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, FIRST] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(marks, at, side="right").astype(np.int32))], names=["key", "x", "p", "block"])
-
-    return run
-
-
-def near(ax: np.ndarray, ap: np.ndarray, bx: np.ndarray, bp: np.ndarray, w: float, count: int, cosine: float, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, cosine) of the pairs of the two blocks that pass; first: the sorted line."""
-    m = ap.shape[1]
-    order = [first, *(k for k in range(m) if k != first)]
-    dense, rest = order[:DENSE], order[DENSE:]
-    out_i, out_j, out_c = [], [], []
-    bt = np.ascontiguousarray(bp.T)
-    for lo in range(0, len(ax), 256):
-        a = ap[lo : lo + 256]
-        hit = np.abs(a[:, dense[0], None] - bt[dense[0]]) <= w
-        total = hit.astype(np.uint8)
-        for k in dense[1:]:
-            total += np.abs(a[:, k, None] - bt[k]) <= w
-        i, j = np.nonzero(hit & (total >= count - len(rest)))
-        if not len(i):
-            continue
-        n = total[i, j].astype(np.int64)
-        for s in range(0, len(i), 100_000):
-            z = slice(s, s + 100_000)
-            n[z] += (np.abs(a[i[z]][:, rest] - bp[j[z]][:, rest]) <= w).sum(axis=1) if rest else 0
-        ok = n >= count
-        i, j = i[ok] + lo, j[ok]
-        c = np.empty(len(i))
-        for s in range(0, len(i), 100_000):
-            c[s : s + 100_000] = np.einsum("ij,ij->i", ax[i[s : s + 100_000]], bx[j[s : s + 100_000]])
-        ok = c >= cosine
-        out_i.append(i[ok]), out_j.append(j[ok]), out_c.append(c[ok])
-    if not out_i:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_c)
-
-
-def _block_pairs(first: int, w: float, count: int, cosine: float):
-    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = t.num_rows
-        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["x"].chunks]).reshape(n, -1)
-        p = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["p"].chunks]).reshape(n, -1)
-        return t["key"].to_numpy(), x, p
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"key_a": pa.array([], pa.int64()), "key_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        (ai, ax, ap), (bi, bx, bp) = arrays(left), arrays(right)
-        i, j, c = near(ax, ap, bx, bp, w, count, cosine, first)
-        same = left["block"][0].as_py() == right["block"][0].as_py()
-        a, b = ai[i], bi[j]
-        ok = a < b if same else a != b
-        a, b, c = a[ok], b[ok], c[ok]
-        return pa.table({"key_a": np.minimum(a, b), "key_b": np.maximum(a, b), "cosine": np.round(c, 6)})
+def _sums_and_links(cosine: float):
+    """(u, null, links of u to ids of one vector), (u, v, null) of enough links for the
+    same vectors to hang together, and (u, v, 0) of all links of vectors that
+    have an id of several."""
+
+    def run(t: pa.Table) -> pa.Table:
+        blocks, found = _sides(t, cosine, False)
+        (ka, _, ra), (kb, _, rb) = blocks[0], blocks[-1]
+        wa, wb, oa, ob = (r[c].to_numpy(zero_copy_only=False) for c in ("n", "odd") for r in (ra, rb))
+        sa, sb = np.zeros(len(ka), np.int64), np.zeros(len(kb), np.int64)
+        none = np.zeros(0, np.int64)
+        u, v, odd_u, odd_v = [none], [none], [none], [none]
+        for i, j, _ in found:
+            np.add.at(sa, i, wb[j]), np.add.at(sb, j, wa[i])
+            x, y = ka[i], kb[j]
+            odd = oa[i] | ob[j]
+            odd_u.append(x[odd]), odd_v.append(y[odd])
+            x, y = forest(x, y)
+            u.append(x), v.append(y)
+        u, v = forest(np.concatenate(u), np.concatenate(v))
+        odd_u, odd_v = np.concatenate(odd_u), np.concatenate(odd_v)
+        ends = [ka[sa > 0], kb[sb > 0]]
+        key = np.concatenate([*ends, u, odd_u])
+        other = pa.concat_arrays([pa.nulls(sum(map(len, ends)), pa.int64()), pa.array(v), pa.array(odd_v)])
+        n = pa.concat_arrays([pa.array(sa[sa > 0]), pa.array(sb[sb > 0]), pa.nulls(len(u), pa.int64()), pa.array(np.zeros(len(odd_u), np.int64))])
+        return pa.table([pa.array(key), other, n], names=["u", "v", "n"])
 
     return run
 
@@ -226,34 +141,64 @@ def _expanded(found: DataFrame, slices: DataFrame) -> DataFrame:
     return ids.filter("a < b or a > b and not own").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"), "cosine")
 
 
-def pairs(df: DataFrame, cosine: float = COSINE, recall: float = RECALL, block_rows: int = BLOCK_ROWS, width: float = WIDTH) -> DataFrame:
+def _vectors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((vec_id, key) of the vectors that have a direction, (key, e, ids)). The rows of
+    one vec_id may have several vectors, so a vector gets a key of its own."""
+    df = need(df, "vec_id", "embedding")
+    e = F.col("embedding").cast("array<float>" if kind(df, "embedding") == "array<float>" else "array<double>")
+    square = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    given = df.select("vec_id", e.alias("e")).filter("vec_id is not null and size(e) > 0").filter((square > 0) & (square < float("inf"))).distinct()
+    keys = written(given.groupBy("e").agg(F.count("*").alias("ids")).withColumn("key", F.monotonically_increasing_id()), "embedding-distinct")
+    return written(given.join(keys.select("e", "key", "ids"), "e").select("vec_id", "key", "ids"), "embedding-ids"), keys
+
+
+def _block_pairs(keys: DataFrame, block_rows: int) -> DataFrame:
+    """keys, with dim and block, in each pair (lo, hi) of blocks that holds its own."""
+    spark = keys.sparkSession
+    keys = keys.withColumn("dim", F.size("e"))
+    # At least so many blocks that their pairs keep the partitions busy.
+    least = 1 + int(np.ceil(np.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sizes = [(r["dim"], r["n"]) for r in keys.groupBy("dim").agg(F.count("*").alias("n")).collect()]
+    counts = [(d, max(-(-n // max(1, min(block_rows, BLOCK_BYTES // (8 * d)))), min(least, -(-n // 1_024)))) for d, n in sizes]
+    blocks = spark.createDataFrame(counts, "d int, blocks int")
+    own = keys.join(blocks, F.col("dim") == F.col("d")).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "o")).withColumn("hi", F.greatest("block", "o")).drop("blocks", "d", "o")
+
+
+def pairs(df: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_a, vec_b, cosine), vec_a < vec_b: pairs whose cosine is at least the limit."""
-    spark = df.sparkSession
-    given = need(df, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null and size(e) > 0").distinct()
-    # The rows of one vec_id may have several vectors, so a vector gets a key of its own.
-    grouped = written(given.groupBy("e").agg(F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "embedding-distinct")
-    unit = written(grouped.select("key", "e").mapInArrow(_unit, "key long, dim int, x array<double>, p array<float>"), "embedding-projections")
-    some = grouped.join(unit.select("key"), "key").select("key", "e", "n")
-    placed = given.join(some, "e").select("key", (F.col("n") > 1).alias("several"), F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / SLICE)).cast("int").alias("s"), "vec_id")
-    slices = written(placed.groupBy("key", "several", "s").agg(F.collect_list("vec_id").alias("ids")), "embedding-copies")
-    found = spark.createDataFrame([], "key_a long, key_b long, cosine double")
-    sizes = {r["dim"]: r["n"] for r in unit.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    for dim, n in sorted(sizes.items()):
-        here = unit.filter(F.col("dim") == dim)
-        w, count = calibrated(differences(here, cosine), width * sqrt(2 - 2 * cosine), least_count(LINES, collision(width), recall), recall)
-        blocks = max(1, round(n / block_rows))
-        at = here.select(F.get("p", F.lit(FIRST)).alias("at"))
-        found_marks = at.agg(F.percentile_approx("at", [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] if blocks > 1 else []
-        marks = np.unique(np.array(found_marks, dtype=np.float64))
-        edges = np.concatenate([[-np.inf], marks, [np.inf]])
-        # The last block that a block's windows reach; the pairs of blocks are made by the executors.
-        last = np.searchsorted(edges[:-1], edges[1:] + w, side="right") - 1
-        reach = spark.createDataFrame([(k, int(j)) for k, j in enumerate(last)], "k int, last int")
-        meet = reach.select("k", F.explode(F.sequence("k", "last")).alias("j"))
-        own = here.select("key", "x", "p").mapInArrow(_numbered(marks), "key long, x array<double>, p array<float>, block int")
-        names = ("k", "j", "block", "key", "x", "p")
-        # New names' ids, as both sides come from one table.
-        left = own.join(meet, F.col("block") == F.col("k")).select(*[F.col(c).alias(c) for c in names])
-        right = own.join(meet, F.col("block") == F.col("j")).select(*[F.col(c).alias(c) for c in names])
-        found = found.unionByName(left.groupBy("k", "j").cogroup(right.groupBy("k", "j")).applyInArrow(_block_pairs(FIRST, w, count, cosine), "key_a long, key_b long, cosine double"))
+    placed, keys = _vectors(df)
+    slices = written(placed.withColumn("several", F.col("ids") > 1).groupBy("key", "several", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("ids") / SLICE)).cast("int").alias("s")).agg(F.collect_list("vec_id").alias("ids")), "embedding-copies")
+    found = _block_pairs(keys.select("key", "e"), block_rows).groupBy("dim", "lo", "hi").applyInArrow(_all_pairs(cosine), "key_a long, key_b long, cosine double")
     return _expanded(found, slices).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+
+
+def classes(df: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(vec_id, class_id, class_size, links) of every vec_id. Two are linked if the
+    cosine of their vectors is at least the limit; a class is what hangs together by
+    links, class_id its least vec_id; links: with how many others it is linked."""
+    placed, keys = _vectors(df)
+    many = placed.groupBy(F.col("vec_id").alias("_id")).agg(F.count("*").alias("c"), F.min("key").alias("first")).filter("c > 1")
+    marked = placed.join(many, F.col("vec_id") == F.col("_id"), "left").select("vec_id", "key", F.col("c").isNotNull().alias("odd"), "first")
+    marked = written(marked, "embedding-marked")
+    weights = marked.groupBy("key").agg(F.count(F.when(~F.col("odd"), 1)).alias("n"), F.max("odd").alias("odd"))
+    compared = _block_pairs(keys.select("key", "e").join(weights, "key"), block_rows).groupBy("dim", "lo", "hi")
+    found = written(compared.applyInArrow(_sums_and_links(cosine), "u long, v long, n long"), "embedding-links")
+    sums = found.filter("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("near"))
+    # The vectors of one vec_id are in one class, too.
+    own = marked.filter("odd and key <> first").select(F.col("first").alias("u"), F.col("key").alias("v"))
+    edges = written(found.filter("v is not null and n is null").select("u", "v").unionByName(own).distinct(), "embedding-edges")
+    roots = components(edges)
+    named = marked.join(roots, F.col("key") == F.col("node"), "left").join(weights.select("key", F.col("n").alias("copies")), "key").join(sums, "key", "left")
+    rows = written(named.select("vec_id", F.coalesce("root", "key").alias("root"), "odd", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("plain")), "embedding-rows")
+    least = rows.groupBy("root").agg(F.min("vec_id").alias("class_id"), F.count_distinct("vec_id").alias("class_size"))
+    # Ids of several vectors may be near another by more than one: their links are told apart by id.
+    near_keys = found.filter("n = 0 and v is not null").select("u", "v")
+    near_keys = near_keys.unionByName(near_keys.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(marked.filter("odd").select(F.col("key").alias("u"), F.col("key").alias("v"))).distinct()
+    left, right = marked.filter("odd").select(F.col("vec_id").alias("o"), F.col("key").alias("u")), marked.select(F.col("vec_id").alias("x"), F.col("key").alias("v"), F.col("odd").alias("x_odd"))
+    told = written(near_keys.join(left, "u").join(right, "v").filter("o <> x").select("o", "x", "x_odd").distinct(), "embedding-told")
+    extra = told.groupBy(F.col("o").alias("i")).count().unionByName(told.filter("not x_odd").groupBy(F.col("x").alias("i")).count())
+    linked = rows.join(least, "root").groupBy("vec_id", "class_id", "class_size").agg(F.sum(F.when(~F.col("odd"), F.col("plain")).otherwise(0)).alias("plain"))
+    linked = linked.join(extra, F.col("vec_id") == F.col("i"), "left").select("vec_id", "class_id", "class_size", (F.col("plain") + F.coalesce("count", F.lit(0))).alias("links"))
+    alone = need(df, "vec_id").filter("vec_id is not null").distinct().join(placed.select(F.col("vec_id").alias("_id")), F.col("vec_id") == F.col("_id"), "left_anti")
+    return linked.unionByName(alone.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links")))
