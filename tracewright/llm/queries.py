@@ -38,7 +38,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embedding.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
