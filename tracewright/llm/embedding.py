@@ -162,7 +162,9 @@ def _block_pairs(keys: DataFrame, block_rows: int) -> DataFrame:
     counts = [(d, max(-(-n // max(1, min(block_rows, BLOCK_BYTES // (8 * d)))), min(least, -(-n // 1_024)))) for d, n in sizes]
     blocks = spark.createDataFrame(counts, "d int, blocks int")
     own = keys.join(blocks, F.col("dim") == F.col("d")).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "o")).withColumn("hi", F.greatest("block", "o")).drop("blocks", "d", "o")
+    # Dealt out by number, as small pairs would else be put into one task.
+    dealt = max(1, min(10_000, sum(2 * b * (b + 1) for _, b in counts)))
+    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "o")).withColumn("hi", F.greatest("block", "o")).drop("blocks", "d", "o").repartition(dealt, "dim", "lo", "hi")
 
 
 def pairs(df: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
