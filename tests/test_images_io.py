@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def test_resize_augment_features(spark):
     assert len(f) == 512 + 900 and math.isclose(sum(f[:512]), 1.0)
 
 
+def test_results_leave_python_in_slices(spark, monkeypatch):
+    """A worker holds some SLICE bytes of results, not those of a whole batch."""
+    taken = []
+    monkeypatch.setattr(images.F, "pandas_udf", lambda kind: lambda run: lambda *_: taken.append(run) or F.lit(None).cast(kind))
+    a = np.random.default_rng(3).integers(0, 256, (8, 8), dtype=np.uint8)
+    df = picture(spark, a)
+    images.features(df), images.prepared(df, 224), images.augment(df, 3)
+    monkeypatch.undo()
+    n = 900
+    batch = [[a.tobytes(), None, *[a.tobytes()] * (n - 2)], [8] * n, [8] * n, [1] * n, range(n)]
+    for run, width, each in zip(taken, (4, 4, 5), (1412 * 8, 224 * 224 * 3, 64), strict=True):
+        got = list(run(iter([tuple(batch[:width])])))
+        assert sum(map(len, got)) == n and pd.concat(got).reset_index(drop=True).isna().to_numpy().nonzero()[0].tolist() == [1]
+        assert max(len(s) for s in got) <= images.SLICE // each + 2
+    rows = [(0, i, None if i == 7 else np.roll(a, i).tobytes(), 8, 8, 1) for i in range(n)]
+    many = spark.createDataFrame(rows, df.schema).repartition(2)
+    want = {i: None if p is None else images.features_of(np.frombuffer(p, np.uint8).reshape(8, 8)) for _, i, p, *_ in rows}
+    for r in images.features(many).select("frame_index", "features").collect():
+        assert (r.features is None) == (want[r.frame_index] is None) and (r.features is None or np.array_equal(r.features, want[r.frame_index]))
+
+
 REV = "r1"
 
 
