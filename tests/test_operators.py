@@ -278,3 +278,58 @@ def test_ranking_with_ties_against_a_loop(spark):
     curve = {x["score"]: (x["precision"], x["recall"]) for x in metrics.precision_recall_curve(df, "y", "s").collect()}
     assert len(curve) == len({*s}) and all(abs(p - y[s >= t].mean()) < 1e-9 and abs(q - y[s >= t].sum() / y.sum()) < 1e-9 for t, (p, q) in curve.items())
     assert math.isnan(metrics.roc_auc(df.filter("y = 1"), "y", "s").first()[0])
+
+
+@pytest.mark.parametrize("name", ["diverse_batch"])
+def test_export_reads_events_few_times(spark, sf, name):
+    """Curation, cover, target and sides by windows: before, 78 scans and more."""
+    from tracewright.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") <= 4
+
+
+def test_cover_with_odd_frames(spark):
+    """Repeated, missing and null frames and episodes: windows of the table itself
+    cover what covered() finds."""
+    rng = np.random.default_rng(5)
+    rows = [(int(e), int(f), f / 10, bool(rng.random() < 0.9)) for e in range(6) for f in range(40) if rng.random() < 0.95]
+    rows += [(1, 7, 0.75, True), (2, 9, 0.9, True), (None, 3, 0.3, True), (3, None, 0.3, True)] + [(None, i, i / 10, True) for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "episode_index long, frame_index long, timestamp double, ok boolean")
+    w = sequence.training_windows(df, 4, 1, F.col("ok"))
+    starts = {(r[EPISODE], r.start_frame) for r in w.collect() if r[EPISODE] is not None}
+    want = sorted(r for r in rows if None not in r[:2] and any((r[0], r[1] - i) in starts for i in range(4)))
+    assert len(want) > 40
+    assert sorted(map(tuple, sequence.covered(df, w).collect())) == want
+    assert sorted(map(tuple, sequence.in_windows(df, 4, 1, F.col("ok")).filter("in_window").drop("in_window").collect())) == want
+
+
+def test_timestep_flags_against_thresholds(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(6)
+    rows = [(e, f, [float(rng.normal()) * (50 if rng.random() < 0.1 else 1), *([float(f)] if f % 3 else [])], [float(f % 2)]) for e in range(3) for f in range(30)]
+    rows += [(3, 0, [nan, 1.0], [0.0]), (3, 1, [inf, 1.0], [None]), (3, 2, [1.0, 1.0], [5.0]), (3, 3, None, [0.0]), (3, 4, [2.0], None), (4, 0, [1.0], [1.0]), (None, 1, [1.0], [9.0])]
+    df = spark.createDataFrame(rows, "episode_index long, frame_index long, a array<double>, b array<double>")
+    low, high = {"k": 2.0}, {"k": 4.0, "least": 0.5, "range_share": 0.25}
+    want = {}
+    for v in ("a", "b"):
+        d = discontinuity.element_deltas(df, F.col(v))
+        for i, p in enumerate((low, high)):
+            for r in discontinuity.element_flags(d, discontinuity.thresholds(d, **p)).collect():
+                want.setdefault((r[EPISODE], r[FRAME]), [False, False])[i] |= r.flag_any
+    got = {(r[EPISODE], r[FRAME]): [r.any_discontinuity, r.severe_discontinuity] for r in discontinuity.timestep_flags(df, {"a": F.col("a"), "b": F.col("b")}, low, high).collect()}
+    assert got == want and any(s for _, s in want.values()) and not all(a for a, _ in want.values())
+
+
+@pytest.mark.parametrize("n", [1, 6, 11])
+def test_diverse_rows_against_a_loop(spark, n):
+    cells = ["trainearly", "trainmiddle", "trainlate", "valmiddle", "testearly", "testlate"]
+    rows = [(e, f, ["train", "val", "test", "train"][e % 4]) for e in range(9) if e != 2 for f in range(e % 3 + 3)]
+    df = spark.createDataFrame(rows[::-1], "episode_index long, frame_index long, split string").repartition(3)
+    seen, order = set(), []
+    for e, f, s in sorted(rows):
+        share = f / max(y for x, y, _ in rows if x == e)
+        cell = s + ("early" if share <= 0.25 else "late" if share >= 0.75 else "middle")
+        order.append((cells.index(cell) if cell in cells and cell not in seen else 99, e, f))
+        seen.add(cell)
+    assert [(r[EPISODE], r[FRAME]) for r in export.diverse_rows(df, n).collect()] == [x[1:] for x in sorted(order)[:n]]

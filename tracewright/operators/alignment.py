@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, tally
-from ..model import EPISODE, FRAME, TIME, in_order, previous
+from ..model import EPISODE, FRAME, TIME, in_order, previous, whole
 
 TOLERANCE = 1e-9
 
@@ -29,19 +29,19 @@ def steps(frames: DataFrame) -> DataFrame:
     return frames.withColumns({"dt": F.col(TIME) - previous(TIME, w), "df": F.col(FRAME) - previous(FRAME, w)})
 
 
-def episode_alignment(frames: DataFrame, fps: float | None = None, factor: float = 1.5, tolerance: float = TOLERANCE, state: str | None = None, action: str | None = None) -> DataFrame:
+def episode_alignment(frames: DataFrame, fps: float | None = None, factor: float = 1.5, tolerance: float = TOLERANCE, state: str | None = None, action: str | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """A row for each episode: frames, whether time runs back, repeated times,
     gaps in time (longer than factor * dt) and their sizes, gaps in frame
     numbers, and whether state and action are there for different counts of
-    frames. Without fps dt is the episode's median step."""
+    frames; and what else is to be aggregated. Without fps dt is the episode's
+    median step."""
     stepped = steps(frames)
     lengths = F.count(state) != F.count(action) if state and action else F.lit(False)
     if fps:
         gap = F.col("dt") > factor / fps
         dt = F.lit(1.0 / fps)
     else:
-        own = stepped.groupBy(EPISODE).agg(dt_of(None, F.col("dt")).alias("expected_dt"))
-        stepped = stepped.join(own, EPISODE)
+        stepped = stepped.filter(F.col(EPISODE).isNotNull()).withColumn("expected_dt", dt_of(None, F.col("dt")).over(whole()))
         gap, dt = F.col("dt") > factor * F.col("expected_dt"), F.first("expected_dt")
     return stepped.groupBy(EPISODE).agg(
         F.count("*").alias("n_frames"),
@@ -52,6 +52,7 @@ def episode_alignment(frames: DataFrame, fps: float | None = None, factor: float
         F.sort_array(F.collect_list(F.when(gap, F.col("dt")))).alias("gap_sizes"),
         tally(F.col("df") != 1).alias("n_frame_gaps"),
         lengths.alias("length_mismatch"),
+        *[c.alias(n) for n, c in (also or {}).items()],
     )
 
 

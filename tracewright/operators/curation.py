@@ -25,9 +25,8 @@ def episode_validation(frames: DataFrame, rules: EpisodeRules, state: str = "sta
     """(episode_index, n_frames, accepted, reasons): every rule that an episode
     breaks, in a fixed order. state and action are vector columns; videos, if
     given, has (episode_index, video_ok, video_mismatch)."""
-    timing = episode_alignment(frames, rules.fps, rules.gap_factor, state=state, action=action)
-    bad = frames.groupBy(EPISODE).agg(_any_bad(state).alias("bad_state"), _any_bad(action).alias("bad_action"))
-    joined = timing.join(bad, EPISODE)
+    bad = {"bad_state": _any_bad(state), "bad_action": _any_bad(action)}
+    joined = episode_alignment(frames.filter(F.col(EPISODE).isNotNull()), rules.fps, rules.gap_factor, state=state, action=action, also=bad)
     joined = joined.join(videos, EPISODE, "left") if videos is not None else joined.withColumns({"video_ok": F.lit(True), "video_mismatch": F.lit(False)})
 
     def when(on: bool, broken: Column, code: str) -> Column:

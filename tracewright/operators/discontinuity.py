@@ -21,12 +21,16 @@ def element_deltas(frames: DataFrame, vector: Column, by: Sequence[str] = (EPISO
     return long.withColumn("delta", F.col("value") - F.lag("value").over(w))
 
 
+def limit(mad: Column, span: Column, k: float = 8.0, floor: float = 1e-6, least: float = 0.0, range_share: float = 0.0) -> Column:
+    return F.greatest(k * F.greatest(F.coalesce(mad, F.lit(0.0)), F.lit(floor)), F.lit(least), range_share * F.coalesce(span, F.lit(0.0)))
+
+
 def thresholds(deltas: DataFrame, by: Sequence[str] = (EPISODE, "dim"), k: float = 8.0, floor: float = 1e-6, least: float = 0.0, range_share: float = 0.0) -> DataFrame:
     """(by, threshold): the greatest of k times the deltas' MAD (or the floor),
     an absolute least, and a share of the values' range."""
     spread = deltas.groupBy(*by).agg((F.max(finite(F.col("value"))) - F.min(finite(F.col("value")))).alias("range"))
     mad = median_and_mad(deltas.filter("delta is not null"), F.col("delta"), by).select(*by, "mad")
-    return spread.join(mad, list(by), "left").select(*by, F.greatest(k * F.greatest(F.coalesce("mad", F.lit(0.0)), F.lit(floor)), F.lit(least), range_share * F.coalesce("range", F.lit(0.0))).alias("threshold"))
+    return spread.join(mad, list(by), "left").select(*by, limit(F.col("mad"), F.col("range"), k, floor, least, range_share).alias("threshold"))
 
 
 def element_flags(deltas: DataFrame, limits: DataFrame, by: Sequence[str] = (EPISODE, "dim")) -> DataFrame:
@@ -59,14 +63,14 @@ def largest_overall(deltas: DataFrame, n: int = 10) -> DataFrame:
 def timestep_flags(frames: DataFrame, vectors: dict[str, Column], ordinary: dict[str, float], severe: dict[str, float]) -> DataFrame:
     """(episode_index, frame_index, any_discontinuity, severe_discontinuity):
     whether any element of any vector jumps, infinities included, by two sets of
-    threshold parameters. All vectors are one long table: one pass each."""
-    out = None
-    for i, vector in enumerate(vectors.values()):
-        d = element_deltas(frames, vector).withColumn("vector", F.lit(i))
-        out = d if out is None else out.unionByName(d)
-    keys = (EPISODE, "vector", "dim")
-    a = thresholds(out, keys, **ordinary).withColumnRenamed("threshold", "t_any")
-    b = thresholds(out, keys, **severe).withColumnRenamed("threshold", "t_severe")
-    size = F.abs("delta")
-    marked = out.join(a.join(b, list(keys)), list(keys))
-    return marked.groupBy(EPISODE, FRAME).agg(F.bool_or(above(size, F.col("t_any"))).alias("any_discontinuity"), F.bool_or(above(size, F.col("t_severe"))).alias("severe_discontinuity"))
+    threshold parameters (see thresholds()). All vectors are one long table; its
+    thresholds are windows over an episode's element, so it is read once."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("vector"), v.alias("x")) for i, v in enumerate(vectors.values())]))
+    long = frames.filter(F.col(EPISODE).isNotNull()).select(EPISODE, FRAME, each.alias("_v")).select(EPISODE, FRAME, "_v.vector", F.posexplode("_v.x").alias("dim", "value"))
+    w = Window.partitionBy(EPISODE, "vector", "dim")
+    d = long.withColumn("delta", F.col("value") - F.lag("value").over(w.orderBy(FRAME)))
+    x = finite(F.col("delta").cast("double"))
+    d = d.withColumns({"_range": F.max(finite(F.col("value"))).over(w) - F.min(finite(F.col("value"))).over(w), "_median": F.percentile(x, F.lit(0.5)).over(w)})
+    d = d.withColumn("_mad", F.percentile(F.abs(x - F.col("_median")), F.lit(0.5)).over(w))
+    flag = lambda limits: F.bool_or(above(F.abs("delta"), limit(F.col("_mad"), F.col("_range"), **limits)))
+    return d.groupBy(EPISODE, FRAME).agg(flag(ordinary).alias("any_discontinuity"), flag(severe).alias("severe_discontinuity"))

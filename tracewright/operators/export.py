@@ -72,14 +72,16 @@ def clip_fraction(rows: DataFrame, vector: Column, n: Normaliser) -> DataFrame:
     return x.agg(share(F.abs("x") > 1.0).alias("beyond"), share(F.abs("x") >= 1.0 - 1e-12).alias("at_bounds"))
 
 
-def export_rows(timesteps: DataFrame, windows: DataFrame, policy: str, require_future_target: int = 0) -> DataFrame:
+def export_rows(timesteps: DataFrame, windows: DataFrame | None, policy: str, require_future_target: int = 0) -> DataFrame:
     """Hard-valid frames of the policy's windows; with an offset only those whose
-    episode also has, among them, the frame that far on."""
-    rows = covered(timesteps.filter("hard_valid"), windows.filter(F.col("policy") == policy))
+    episode also has, among them, the frame that far on. Without a table of
+    windows the timesteps tell by in_window which frames lie in the policy's."""
+    valid = timesteps.filter("hard_valid")
+    rows = valid.filter("in_window") if windows is None else covered(valid, windows.filter(F.col("policy") == policy))
     return future_exists(rows, require_future_target)
 
 
-def examples(timesteps: DataFrame, windows: DataFrame, split: DataFrame, n: Normaliser, policy: str = "conservative", instruction: str = "", mode: str = "absolute", gripper: int | None = None, require_future_target: int = 0, constants: dict[str, str] | None = None) -> DataFrame:
+def examples(timesteps: DataFrame, windows: DataFrame | None, split: DataFrame, n: Normaliser, policy: str = "conservative", instruction: str = "", mode: str = "absolute", gripper: int | None = None, require_future_target: int = 0, constants: dict[str, str] | None = None) -> DataFrame:
     """Nested records, a row for each frame to train on. Differences of actions
     are taken over whole episodes, before any row goes."""
     action = delta_actions(F.col("action"), gripper) if mode == "delta" else F.col("action")
@@ -125,11 +127,11 @@ def diverse_rows(rows: DataFrame, n: int = 6) -> DataFrame:
     want = F.lit(None).cast("int")
     for i, (s, p) in enumerate(cells):
         want = F.when((F.col("split") == s) & (F.col("temporal_position") == p), F.lit(i)).otherwise(want)
-    marked = placed.withColumns({"_rank": rank, "_cell": want})
-    # The n first rows in order are all that filling up can need.
-    firsts = marked.filter((F.col("_rank") == 1) & F.col("_cell").isNotNull()).withColumn("_order", F.col("_cell"))
-    rest = marked.filter((F.col("_rank") != 1) | F.col("_cell").isNull()).orderBy(EPISODE, FRAME).limit(n).withColumn("_order", F.lit(len(cells)))
-    return firsts.unionByName(rest).orderBy("_order", EPISODE, FRAME).limit(n).drop("_rank", "_cell", "_order")
+    # A row that fills up has fewer than n others before it, and its cell's first:
+    # n + 1 rows of a cell are all that can be needed, and no task sorts a cell.
+    marked = placed.withColumn("_rank", rank).filter(F.col("_rank") <= n + 1)
+    order = F.when(F.col("_rank") == 1, F.coalesce(want, F.lit(len(cells)))).otherwise(len(cells))
+    return marked.withColumn("_order", order).orderBy("_order", EPISODE, FRAME).limit(n).drop("_rank", "_order")
 
 
 def round_trip(rows: DataFrame, vector: Column, n: Normaliser, tolerance: float = 1e-2) -> DataFrame:

@@ -123,10 +123,11 @@ def curation_summary(spark, d):
 
 
 def _examples(spark, d, mode: str = "absolute", offset: int = 0) -> DataFrame:
-    _, timesteps, windows = _curated(spark, d)
-    sides = timesteps.select(EPISODE).distinct().select(EPISODE, F.when(F.col(EPISODE) % 10 < 8, "train").when(F.col(EPISODE) % 10 == 8, "val").otherwise("test").alias("split"))
+    rules = Curation()
+    timesteps = sequence.in_windows(_curated(spark, d)[1], rules.horizon, rules.stride, curation.policy_ok("strict"))
+    sides = read(spark, d, "events").select(F.col("user_id").cast("long").alias(EPISODE)).distinct().select(EPISODE, F.when(F.col(EPISODE) % 10 < 8, "train").when(F.col(EPISODE) % 10 == 8, "val").otherwise("test").alias("split"))
     n = export.Normaliser((0.0,), (100.0,), 2)
-    return export.examples(timesteps.select(EPISODE, FRAME, TIME, "state", "action", "state_smoothed", "hard_valid", "decode_failure", "overexposed", "exact_duplicate"), windows, sides, n, "strict", "pick up the block", mode, None, offset, {"dataset_revision": "r1"})
+    return export.examples(timesteps.select(EPISODE, FRAME, TIME, "state", "action", "state_smoothed", "hard_valid", "decode_failure", "overexposed", "exact_duplicate", "in_window"), None, sides, n, "strict", "pick up the block", mode, None, offset, {"dataset_revision": "r1"})
 
 
 _COVER = f"{_BOTH}, cov AS (SELECT * FROM ts AS f WHERE hard AND EXISTS (SELECT 1 FROM w WHERE w.policy = 'strict' AND w.episode_index = f.episode_index AND f.frame_index >= start_frame AND f.frame_index < start_frame + 16)), ex AS (SELECT *, CASE WHEN episode_index % 10 < 8 THEN 'train' WHEN episode_index % 10 = 8 THEN 'val' ELSE 'test' END AS split, 2 * k / (100 + 1e-6) - 1 AS enc FROM cov)"
