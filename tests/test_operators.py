@@ -280,7 +280,7 @@ def test_ranking_with_ties_against_a_loop(spark):
     assert math.isnan(metrics.roc_auc(df.filter("y = 1"), "y", "s").first()[0])
 
 
-@pytest.mark.parametrize("name", ["diverse_batch"])
+@pytest.mark.parametrize("name", ["diverse_batch", "export_deltas"])
 def test_export_reads_events_few_times(spark, sf, name):
     """Curation, cover, target and sides by windows: before, 78 scans and more."""
     from tracewright.plans import catalogue
@@ -289,9 +289,9 @@ def test_export_reads_events_few_times(spark, sf, name):
     assert plan.count("Relation ") <= 4
 
 
-def test_cover_with_odd_frames(spark):
+def test_cover_and_target_with_odd_frames(spark):
     """Repeated, missing and null frames and episodes: windows of the table itself
-    cover what covered() finds."""
+    cover what covered() finds, and targets are those of a set."""
     rng = np.random.default_rng(5)
     rows = [(int(e), int(f), f / 10, bool(rng.random() < 0.9)) for e in range(6) for f in range(40) if rng.random() < 0.95]
     rows += [(1, 7, 0.75, True), (2, 9, 0.9, True), (None, 3, 0.3, True), (3, None, 0.3, True)] + [(None, i, i / 10, True) for i in range(10, 20)]
@@ -302,6 +302,10 @@ def test_cover_with_odd_frames(spark):
     assert len(want) > 40
     assert sorted(map(tuple, sequence.covered(df, w).collect())) == want
     assert sorted(map(tuple, sequence.in_windows(df, 4, 1, F.col("ok")).filter("in_window").drop("in_window").collect())) == want
+    have = {r[:2] for r in rows}
+    for offset in (1, 5, -2):
+        there = sorted(r for r in rows if None not in r[:2] and (r[0], r[1] + offset) in have)
+        assert sorted(map(tuple, sequence.future_exists(df, offset).collect())) == there
 
 
 def test_timestep_flags_against_thresholds(spark):
